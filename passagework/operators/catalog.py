@@ -41,7 +41,7 @@ def tags_to_json(tags: Column) -> Column:
 def tags_from_json(text: Column) -> Column:
     """JSON text as a list of trimmed, non-empty tags."""
     items = F.from_json(text, "array<string>")
-    return F.filter(F.transform(items, F.trim), lambda t: t != "")
+    return F.filter(F.transform(items, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def files_per_tag(files: DataFrame) -> DataFrame:

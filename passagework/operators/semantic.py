@@ -6,15 +6,20 @@ block of queries and hands on only the best files of each query, never all pairs
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from passagework.functions.vectors import norm
 from passagework.operators.ranking import best_per_file, top_k
 
+# Tasks get the functions of this module themselves and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 # Texts per embedder call, and the text length the prototype kept.

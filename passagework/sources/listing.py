@@ -52,10 +52,19 @@ def _scan(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
 def describe(listing: DataFrame, indexed_at: datetime, file_id: Column | None = None) -> DataFrame:
     """File rows from a listing: names, language, title and tags, one stamp for the run.
 
-    Front matter needs a `content` column, which is kept. Empty values become NULL.
+    A `tags` column of the listing is kept; otherwise title and tags come from the
+    front matter of a `content` column, which stays. Empty values become NULL.
     """
     ext = P.extension(F.col("path"))
-    columns = [
+    has_content = "content" in listing.columns
+    if has_content and "tags" not in listing.columns:
+        front = F.when(ext.isin(FRONTMATTER_EXTENSIONS), frontmatter.parse(F.col("content")))
+        listing = listing.withColumn("front", front)
+        title, tags = F.col("front.title"), F.col("front.tags")
+    else:
+        title = F.lit(None).cast("string")
+        tags = F.col("tags") if "tags" in listing.columns else F.lit(None).cast("array<string>")
+    return listing.select(
         (F.md5("path") if file_id is None else file_id).alias("file_id"),
         "path",
         P.file_name(F.col("path")).alias("filename"),
@@ -63,17 +72,10 @@ def describe(listing: DataFrame, indexed_at: datetime, file_id: Column | None =
         "size_bytes",
         "modified",
         P.language(ext).alias("lang"),
-    ]
-    stamp = F.lit(indexed_at).cast("timestamp").alias("indexed_at")
-    if "content" not in listing.columns:
-        return listing.select(
-            *columns, F.lit(None).cast("string").alias("title"),
-            F.lit(None).cast("array<string>").alias("tags"), stamp,
-        )
-    front = F.when(ext.isin(FRONTMATTER_EXTENSIONS), frontmatter.parse(F.col("content")))
-    return listing.select(*columns, front.alias("front"), stamp, "content").select(
-        "file_id", "path", "filename", "extension", "size_bytes", "modified", "lang",
-        F.col("front.title").alias("title"), F.col("front.tags").alias("tags"), "indexed_at", "content",
+        title.alias("title"),
+        tags.alias("tags"),
+        F.lit(indexed_at).cast("timestamp").alias("indexed_at"),
+        *(["content"] if has_content else []),
     )
 
 
