@@ -10,7 +10,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from passagework.functions import text as X
 from passagework.operators.joins import bounded_rows
@@ -65,8 +67,11 @@ def clause_table(spark: SparkSession, queries: Mapping[str, Sequence[Sequence[Cl
         for group_no, group in enumerate(groups)
         for clause_no, c in enumerate(group)
     ]
+    # An Arrow table becomes a local relation of the plan: no task, no Python worker.
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), CLAUSES.fields)]
+    frame = spark.createDataFrame(pa.table(columns, names=CLAUSES.names), CLAUSES)
     return ClauseTable(
-        _analysed(spark.createDataFrame(rows, CLAUSES)),
+        _analysed(frame),
         # A text of n characters has at most n words.
         rows=sum(len(r[5]) + 1 for r in rows),
         one_group=all(len(groups) <= 1 for groups in queries.values()),
