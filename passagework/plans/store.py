@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagework.functions import files as P
 from passagework.operators import catalog, chunking, postings
@@ -77,10 +77,21 @@ def _write_postings(store: Store, table: str, dictionary: str, rows: DataFrame,
         .sortWithinPartitions("bucket", "term", *CHUNK_KEY)
         .write.mode("overwrite").partitionBy("bucket").parquet(store.part(table, batch))
     )
-    stored = rows.sparkSession.read.parquet(store.part(table, batch))
+    stored = _read_postings(rows.sparkSession, store.part(table, batch), rows.schema["file_id"].dataType)
     postings.term_stats(stored).write.mode("overwrite").parquet(store.part(dictionary, batch))
 
 
+def _read_postings(spark: SparkSession, path: str, id_type: T.DataType, *partitions: str) -> DataFrame:
+    """Postings with their schema given, as a batch without words leaves no file to infer it from."""
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("file_id", id_type), T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("dl", T.IntegerType()), T.StructField("tf", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+        *(T.StructField(name, T.IntegerType()) for name in (*partitions, "bucket")),
+    ])
+    return spark.read.schema(schema).parquet(path)
+
+
 def live_files(store: Store, spark: SparkSession) -> DataFrame:
     """The newest row of every path that is not deleted, with its `batch`."""
     rows = spark.read.parquet(store.table("files"))
@@ -96,8 +107,10 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
     """
     read = lambda name: spark.read.parquet(store.table(name))
     files = live_files(store, spark)
-    chunks, words = read("chunks"), read("words")
-    grams = read("grams") if store.with_grams else None
+    chunks = read("chunks")
+    inverted = lambda name: _read_postings(spark, store.table(name), chunks.schema["file_id"].dataType, "batch")
+    words = inverted("words")
+    grams = inverted("grams") if store.with_grams else None
     vocabulary = read("vocabulary")
     gram_vocabulary = read("gram_vocabulary") if store.with_grams else None
     if has_later_batches(store, spark):
