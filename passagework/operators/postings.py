@@ -42,8 +42,20 @@ def gram_occurrences(chunks: DataFrame) -> DataFrame:
 
 
 def _occurrences(chunks: DataFrame, tokens: Tokeniser) -> DataFrame:
+    # The outer form keeps Spark from adding a `size(tokens) > 0` filter below, which
+    # would cut every text into tokens twice.
+    return (
+        _tokenised(chunks, tokens)
+        .select(*CHUNK_KEY, "dl", F.posexplode_outer("tokens").alias("pos", "term"))
+        .filter(F.col("term").isNotNull())
+    )
+
+
+def _tokenised(chunks: DataFrame, tokens: Tokeniser) -> DataFrame:
+    """Chunks as token lists. The length is a column of its own, so that exploding the
+    list does not carry the list along in every row."""
     return chunks.select(*CHUNK_KEY, tokens(F.col("content")).alias("tokens")).select(
-        *CHUNK_KEY, F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term")
+        *CHUNK_KEY, F.size("tokens").alias("dl"), "tokens"
     )
 
 
@@ -57,9 +69,7 @@ def gram_postings(chunks: DataFrame) -> DataFrame:
 
 
 def _postings(chunks: DataFrame, tokens: Tokeniser) -> DataFrame:
-    rows = chunks.select(*CHUNK_KEY, tokens(F.col("content")).alias("tokens")).select(
-        *CHUNK_KEY, F.size("tokens").alias("dl"), F.inline(_grouped(F.col("tokens")))
-    )
+    rows = _tokenised(chunks, tokens).select(*CHUNK_KEY, "dl", F.inline(_grouped(F.col("tokens"))))
     return rows.select("term", *CHUNK_KEY, "dl", F.size("positions").alias("tf"), "positions")
 
 

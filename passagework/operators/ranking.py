@@ -28,14 +28,19 @@ def score_hits(hits: DataFrame, stats: DataFrame, avg_dl: str, rows: int | None)
 
     Clause frequencies come from the hits themselves, so a phrase or a prefix counts
     as one unit. Corpus values are one scalar subquery: one row, computed once.
+
+    The count names every column of the hits and filters none: so both uses of the
+    hits are the same shuffle to Spark, and the texts are read once.
     """
-    df = hits.filter((F.col("kind") == "must") & F.col("scored")).groupBy(*CLAUSE_KEY).agg(F.count("*").alias("df"))
+    counted = (F.col("kind") == "must") & F.col("scored") & (F.col("tf") > 0) & (F.col("dl") >= 0) & (F.col("n_must") >= 0)
+    df = hits.groupBy(*CLAUSE_KEY).agg(F.count(F.when(counted, 1)).alias("df"))
     joined = bounded_join(hits, df, CLAUSE_KEY, rows, [F.col(c) for c in CHUNK_KEY], "left")
     corpus = stats.select(F.struct("n_chunks", F.col(avg_dl).alias("avg_dl"))).scalar()
     value = bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("corpus.n_chunks"), F.col("corpus.avg_dl"))
+    relevant = (F.col("kind") == "must") & F.col("scored")
     return (
         joined.withColumn("corpus", corpus)
-        .withColumn("score", F.coalesce(value, F.lit(0.0)))
+        .withColumn("score", F.when(relevant, value).otherwise(F.lit(0.0)))
         .drop("df", "corpus")
     )
 

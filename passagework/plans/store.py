@@ -136,26 +136,37 @@ def has_later_batches(store: Store, spark: SparkSession) -> bool:
     return batches.count() > 1
 
 
+def stored_before(store: Store, spark: SparkSession, batch: int) -> DataFrame:
+    """Live file rows as they were without `batch`, so that a repeated run sees the same state."""
+    rows = spark.read.parquet(store.table("files")).filter(F.col("batch") != batch)
+    newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["path", "batch"], "left_semi").filter(~F.col("deleted")).drop("batch", "deleted")
+
+
 def update(store: Store, listed: DataFrame, batch: int, all_files: bool = False) -> DataFrame:
-    """Write the difference between a listing with contents and the stored files.
+    """Write the difference between a listing with contents and the stored files as a batch.
 
-    Returns the change set. New and changed files are written again, files no longer
-    listed are marked as deleted; others are not read beyond their listing.
+    Returns the change set. Deciding what changed reads no contents. Contents are read
+    from the oldest modification time among the changes on, a filter that file and
+    Parquet scans apply before they open or decode anything.
     """
     spark = listed.sparkSession
-    # The batch itself is left out, so that a repeated run sees the same state.
-    rows = spark.read.parquet(store.table("files")).filter(F.col("batch") != batch)
-    newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    stored = rows.join(newest, ["path", "batch"], "left_semi").filter(~F.col("deleted")).drop("batch", "deleted")
+    stored = stored_before(store, spark, batch)
     changes = change_set(stored, listed)
     wanted = changes.filter(F.col("change").isin("new", "changed")).select("path")
     gone = changes.filter(F.col("change") == "deleted").select("path")
-    fresh = listed.join(wanted, "path", "left_semi").withColumn("deleted", F.lit(False))
-    removed = (
-        stored.join(gone, "path", "left_semi")
-        .withColumns({"content": F.lit(None).cast("string"), "deleted": F.lit(True)})
+    oldest = (
+        listed.select("path", "modified").join(wanted, "path", "left_semi")
+        .agg(F.unix_micros(F.min("modified"))).first()[0]
+    )
+    fresh = listed.filter(F.lit(False)) if oldest is None else listed.filter(
+        F.col("modified").isNull() | (F.col("modified") >= F.timestamp_micros(F.lit(oldest)))
+    ).join(wanted, "path", "left_semi")
+    removed = stored.join(gone, "path", "left_semi").withColumns(
+        {"content": F.lit(None).cast("string"), "deleted": F.lit(True)}
     )
-    write_batch(store, fresh.unionByName(removed, allowMissingColumns=True), batch, all_files=all_files)
+    rows = fresh.withColumn("deleted", F.lit(False)).unionByName(removed, allowMissingColumns=True)
+    write_batch(store, rows, batch, all_files=all_files)
     return changes
 
 

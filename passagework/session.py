@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # Small tables in one machine: rebalanced writes should still use every core.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,4 +50,6 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     slots = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= 2 * slots:
         return scan
-    return scan.repartition(2 * slots, *keys)
+    # Hashing a hash keeps later groupings on the key from building on this partitioning:
+    # they shuffle their small results, and frames used twice share that shuffle.
+    return scan.repartition(2 * slots, F.xxhash64(*keys))

@@ -1,4 +1,9 @@
-"""Continuous indexing: new and changed files become batches of a store."""
+"""Continuous indexing: new and changed files become batches of a store.
+
+`watch` follows a source that only adds files (or rows): Spark remembers what it has
+taken. `watch_folder` looks at a folder again and again, and so also sees files that
+were changed in place or deleted.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.functions.text import valid_text
-from passagework.plans.store import Store, write_batch
+from passagework.plans.incremental import change_set
+from passagework.plans.store import Store, stored_before, update, write_batch
 from passagework.schemas import BINARY_FILE
-from passagework.sources.listing import describe
+from passagework.sources.listing import describe, list_files, read_texts
 
 
 def folder_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """Files below `root` as they appear or change: path, size_bytes, modified, content."""
+    """Files below `root` as they appear: path, size_bytes, modified, content."""
     raw = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -53,3 +59,32 @@ def watch(
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
+
+
+def refresh(spark: SparkSession, root: str, store: Store, batch: int, all_files: bool = False) -> bool:
+    """Bring the store up to date with a folder as batch `batch`; False if nothing changed."""
+    changes = change_set(stored_before(store, spark, batch), list_files(spark, root))
+    begun = spark.read.parquet(store.table("files")).filter(F.col("batch") == batch)
+    if changes.filter(F.col("change") != "same").isEmpty() and begun.isEmpty():
+        return False
+    update(store, describe(read_texts(spark, root), datetime.now()), batch, all_files)
+    return True
+
+
+def watch_folder(
+    spark: SparkSession, root: str, store: Store, checkpoint: str, interval: str = "5 seconds", all_files: bool = False
+) -> StreamingQuery:
+    """Refresh the store from a folder at every interval. Batch 0 must have been written.
+
+    The ticks of a rate stream carry the batch numbers, so a pass that runs again
+    after a failure replaces its own batch.
+    """
+
+    def look(_: DataFrame, number: int) -> None:
+        refresh(spark, root, store, number + 1, all_files)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return (
+        ticks.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint)
+        .trigger(processingTime=interval).start()
+    )

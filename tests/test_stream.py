@@ -1,33 +1,72 @@
 import os
+import time
 from datetime import datetime
 
 from passagework.plans import store as stores
+from passagework.sources.listing import describe, read_texts
 from passagework.streaming import watch as streams
 
 
-def test_folder_becomes_batches(spark, tmp_path):
+def put(root, name, text, at):
+    (root / name).write_text(text)
+    os.utime(root / name, (at, at))
+
+
+def texts(spark, place):
+    corpus = stores.open_corpus(place, spark)
+    rows = corpus.chunks.join(corpus.files.select("file_id", "filename"), "file_id").collect()
+    return {r.filename: r.content for r in rows}
+
+
+def test_new_files_become_batches(spark, tmp_path):
     root, place = tmp_path / "in", stores.Store(str(tmp_path / "index"), buckets=4, with_grams=False)
     root.mkdir()
 
-    def put(name, text, at):
-        (root / name).write_text(text)
-        os.utime(root / name, (at, at))
-
     def run():
-        query = streams.watch(streams.folder_stream(spark, str(root), 1), place, str(tmp_path / "progress"))
-        query.awaitTermination()
-        corpus = stores.open_corpus(place, spark)
-        rows = corpus.chunks.join(corpus.files.select("file_id", "filename"), "file_id").collect()
-        return {r.filename: r.content for r in rows}
-
-    put("a.md", "one", 1_700_000_000)
-    put("b.md", "two", 1_700_000_100)
+        streams.watch(streams.folder_stream(spark, str(root), 1), place, str(tmp_path / "progress")).awaitTermination()
+        return texts(spark, place)
+
+    put(root, "a.md", "one", 1_700_000_000)
+    put(root, "b.md", "two", 1_700_000_100)
     assert run() == {"a.md": "one", "b.md": "two"}
-    put("a.md", "one more", 1_700_000_200)
-    put("c.png", "no text", 1_700_000_300)
-    assert run() == {"a.md": "one more", "b.md": "two"}
-    assert run() == {"a.md": "one more", "b.md": "two"}
-    assert stores.live_files(place, spark).count() == 3
+    put(root, "c.png", "no text", 1_700_000_200)
+    put(root, "d.md", "three", 1_700_000_300)
+    assert run() == {"a.md": "one", "b.md": "two", "d.md": "three"}
+    assert run() == {"a.md": "one", "b.md": "two", "d.md": "three"}
+    assert stores.live_files(place, spark).count() == 4
+
+
+def test_refresh_sees_changes_and_deletions(spark, tmp_path):
+    root, place = tmp_path / "in", stores.Store(str(tmp_path / "index"), buckets=4, with_grams=False)
+    root.mkdir()
+    put(root, "a.md", "one", 1_700_000_000)
+    put(root, "b.md", "two", 1_700_000_100)
+    stores.write_batch(place, describe(read_texts(spark, str(root)), datetime(2024, 1, 1)))
+    assert streams.refresh(spark, str(root), place, 1) is False
+    put(root, "a.md", "one more", 1_600_000_000)
+    (root / "b.md").unlink()
+    put(root, "c.md", "three", 1_700_000_200)
+    assert streams.refresh(spark, str(root), place, 1) is True
+    assert texts(spark, place) == {"a.md": "one more", "c.md": "three"}
+    assert streams.refresh(spark, str(root), place, 1) is True
+    assert texts(spark, place) == {"a.md": "one more", "c.md": "three"}
+    assert streams.refresh(spark, str(root), place, 2) is False
+
+
+def test_watch_folder(spark, tmp_path):
+    root, place = tmp_path / "in", stores.Store(str(tmp_path / "index"), buckets=4, with_grams=False)
+    root.mkdir()
+    put(root, "a.md", "one", 1_700_000_000)
+    stores.write_batch(place, describe(read_texts(spark, str(root)), datetime(2024, 1, 1)))
+    put(root, "b.md", "two", 1_700_000_100)
+    query = streams.watch_folder(spark, str(root), place, str(tmp_path / "progress"), "1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and not query.lastProgress:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert texts(spark, place) == {"a.md": "one", "b.md": "two"}
 
 
 def test_last_version_wins_within_a_batch(spark):
