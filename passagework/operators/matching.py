@@ -14,7 +14,7 @@ from passagework.functions import text as X
 from passagework.operators import postings
 from passagework.operators.clauses import CLAUSE_KEY, ClauseTable
 from passagework.operators.joins import bounded_join, bounded_rows
-from passagework.plans.corpus import Corpus
+from passagework.plans.corpus import Corpus, attach_texts
 from passagework.schemas import CHUNK_KEY
 
 GROUP = ["query_id", "group_no"]
@@ -215,8 +215,8 @@ def _lookup_grams(corpus: Corpus, parts: DataFrame, rows: int | None) -> DataFra
         read_buckets(corpus.grams, anchored, corpus.buckets).select("term", *CHUNK_KEY),
         anchored, ["term"], rows, [F.col(c) for c in CHUNK_KEY],
     )
-    texts = corpus.chunks.select(*CHUNK_KEY, X.fold_grams(F.col("content")).alias("folded"))
-    return _measured(candidates.join(texts, CHUNK_KEY).filter(F.contains(F.col("folded"), F.col("part"))))
+    checked = attach_texts(candidates, corpus, None).withColumn("folded", X.fold_grams(F.col("content")))
+    return _measured(checked.filter(F.contains(F.col("folded"), F.col("part"))))
 
 
 def _measured(found: DataFrame) -> DataFrame:

@@ -68,6 +68,17 @@ def gram_postings(chunks: DataFrame) -> DataFrame:
     return _postings(chunks, grams_of)
 
 
+def gram_presence(chunks: DataFrame) -> DataFrame:
+    """term, file_id, chunk_no: which grams a chunk holds.
+
+    All a gram lookup needs, as candidates are checked on their text; far smaller than
+    `gram_postings`.
+    """
+    return chunks.select(
+        *CHUNK_KEY, F.explode(F.array_distinct(grams_of(F.col("content")))).alias("term")
+    ).select("term", *CHUNK_KEY)
+
+
 def _postings(chunks: DataFrame, tokens: Tokeniser) -> DataFrame:
     rows = _tokenised(chunks, tokens).select(*CHUNK_KEY, "dl", F.inline(_grouped(F.col("tokens"))))
     return rows.select("term", *CHUNK_KEY, "dl", F.size("positions").alias("tf"), "positions")
@@ -115,5 +126,8 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
-    """Chunks and occurrences per term: the dictionary of an index."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """Chunks (and occurrences, where counted) per term: the dictionary of an index."""
+    counts = [F.count("*").alias("df")]
+    if "tf" in postings.columns:
+        counts.append(F.sum("tf").alias("cf"))
+    return postings.groupBy("term").agg(*counts)

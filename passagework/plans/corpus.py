@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from passagework.operators import chunking, postings
+from passagework.operators.joins import MAX_BROADCAST_ROWS
+from passagework.schemas import CHUNK_KEY
 
 
 @dataclass(frozen=True)
@@ -15,7 +17,9 @@ class Corpus:
 
     A scanned corpus has only these and finds words by reading the chunks. A stored
     one also has postings (`words`, `grams`) and dictionaries (`vocabulary`,
-    `gram_vocabulary`) and reads the postings of the query words alone.
+    `gram_vocabulary`) and reads the postings of the query words alone. Its `texts` are
+    the chunk rows of all versions, and `places` tells the segment and the batch that
+    hold the live version of a file.
     """
 
     files: DataFrame
@@ -26,9 +30,29 @@ class Corpus:
     vocabulary: DataFrame | None = None
     gram_vocabulary: DataFrame | None = None
     buckets: int | None = None
+    texts: DataFrame | None = None
+    places: DataFrame | None = None
 
 
 def scan_corpus(files: DataFrame, size: int = chunking.CHUNK_LINES, overlap: int = chunking.OVERLAP_LINES) -> Corpus:
     """A corpus over file rows with a `content` column; nothing is stored."""
     chunks = postings.with_lengths(chunking.cut_chunks(files.select("file_id", "content"), size, overlap))
     return Corpus(files.drop("content"), chunks, postings.corpus_stats(chunks))
+
+
+def attach_texts(rows: DataFrame, corpus: Corpus, bound: int | None) -> DataFrame:
+    """Rows of chunks with the `content` of their chunk; `bound` is a proven row count or None.
+
+    In a stored corpus the segments and batches of the rows prune the texts while they
+    are read. In a scanned one the semi join on the file moves below the chunking, so
+    only files with a row are cut again. Chunk keys are unique: nothing can be skewed.
+    """
+    small = bound is not None and bound <= MAX_BROADCAST_ROWS
+    hint = F.broadcast if small else lambda frame: frame
+    if corpus.places is None:
+        texts = corpus.chunks.select(*CHUNK_KEY, "content")
+        if small:
+            texts = texts.join(F.broadcast(rows.select("file_id").distinct()), "file_id", "left_semi")
+        return texts.join(hint(rows), CHUNK_KEY)
+    located = corpus.places.join(hint(rows), "file_id")
+    return corpus.texts.join(hint(located), [*CHUNK_KEY, "segment", "batch"]).drop("segment", "batch")

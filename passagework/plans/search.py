@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from passagework.functions import snippets, text as X
 from passagework.operators import filters, matching, ranking
 from passagework.operators.clauses import ClauseTable
-from passagework.operators.joins import MAX_BROADCAST_ROWS, bounded_join
-from passagework.plans.corpus import Corpus
+from passagework.operators.joins import bounded_join
+from passagework.plans.corpus import Corpus, attach_texts
 from passagework.schemas import CHUNK_KEY
 
 # Score of a substring hit, default result sizes, candidates per result.
@@ -102,23 +102,16 @@ def result_rows(table: ClauseTable, k: int) -> int | None:
     return None if table.rows is None else table.rows * k
 
 
-def with_files(results: DataFrame, files: DataFrame, rows: int | None, columns: Sequence[str] = ("path", "title", "tags")) -> DataFrame:
+def with_files(
+    results: DataFrame, files: DataFrame, rows: int | None, columns: Sequence[str] = ("path", "title", "tags")
+) -> DataFrame:
     """Result rows with columns of their file."""
     return bounded_join(files.select("file_id", *columns), results, ["file_id"], rows, [F.col("file_id")])
 
 
-def with_content(results: DataFrame, chunks: DataFrame, rows: int | None) -> DataFrame:
-    """Result rows with the whole text of their chunk, read after the cut to k.
-
-    The semi join on the file moves below the chunking of a scanned corpus, so only
-    files with a result are cut again.
-    """
-    texts = chunks.select(*CHUNK_KEY, "content")
-    if rows is not None and rows <= MAX_BROADCAST_ROWS:
-        return texts.join(F.broadcast(results.select("file_id").distinct()), "file_id", "left_semi").join(
-            F.broadcast(results), CHUNK_KEY
-        )
-    return texts.join(results, CHUNK_KEY)
+def with_content(results: DataFrame, corpus: Corpus, rows: int | None) -> DataFrame:
+    """Result rows with the whole text of their chunk, read after the cut to k."""
+    return attach_texts(results, corpus, rows)
 
 
 def query_words(table: ClauseTable) -> DataFrame:
@@ -133,9 +126,11 @@ def query_words(table: ClauseTable) -> DataFrame:
     )
 
 
-def with_snippets(results: DataFrame, chunks: DataFrame, table: ClauseTable, rows: int | None, width: int = snippets.WIDTH) -> DataFrame:
+def with_snippets(
+    results: DataFrame, corpus: Corpus, table: ClauseTable, rows: int | None, width: int = snippets.WIDTH
+) -> DataFrame:
     """Result rows with a highlighted fragment; substring hits have none."""
-    texts = with_content(results, chunks, rows)
+    texts = with_content(results, corpus, rows)
     marked = bounded_join(texts, query_words(table), ["query_id"], table.rows, [F.col(c) for c in CHUNK_KEY])
     by_word: Column = snippets.word_snippet(F.col("content"), F.col("words"), F.col("beginnings"), width)
     if "branch" in results.columns:

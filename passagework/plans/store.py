@@ -6,7 +6,9 @@ batch again after a failure gives the same tables, and a small change costs a sm
 batch. A rebuild starts a new folder, and the next rebuild merges all batches.
 
 Postings are split into hash buckets of the term and sorted by term inside, so a
-query reads the buckets of its words and skips row groups by their term range.
+query reads the buckets of its words and skips row groups by their term range. Chunks
+lie in segments, as written, without a shuffle; `places` maps files to segments, so
+that the texts of a result are read from the segments they lie in.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from passagework.plans.incremental import change_set
 from passagework.schemas import CHUNK_KEY, META
 from passagework.sources.listing import text_files
 
-TABLES = ["files", "chunks", "words", "grams", "vocabulary", "gram_vocabulary"]
-BUCKETS = 64
+BUCKETS, SEGMENTS = 64, 256
+# Text per bucket and per segment that `sized` aims at.
+PART_BYTES = 16 * 1024**3
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,13 @@ class Store:
     max_bytes: int = P.MAX_TEXT_BYTES
     extensions: tuple[str, ...] | None = None
     with_grams: bool = True
+    segments: int = SEGMENTS
+
+    @classmethod
+    def sized(cls, folder: str, text_bytes: int, **options) -> Store:
+        """A store cut for a corpus of about `text_bytes`."""
+        parts = max(BUCKETS, -(-text_bytes // PART_BYTES))
+        return cls(folder, **{"buckets": parts, "segments": max(SEGMENTS, parts), **options})
 
     def table(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -62,11 +72,18 @@ def write_batch(store: Store, files: DataFrame, batch: int = 0, meta_only: bool
     if not all_files:
         readable = text_files(readable, store.extensions, store.max_bytes)
     cut = chunking.cut_chunks(readable.select("file_id", "content"), store.chunk_lines, store.overlap_lines)
-    postings.with_lengths(cut).write.mode("overwrite").parquet(store.part("chunks", batch))
-    chunks = files.sparkSession.read.parquet(store.part("chunks", batch))
+    spark = files.sparkSession
+    (
+        postings.with_lengths(cut)
+        .withColumn("segment", F.pmod(F.spark_partition_id(), F.lit(store.segments)))
+        .write.mode("overwrite").partitionBy("segment").parquet(store.part("chunks", batch))
+    )
+    id_type = files.schema["file_id"].dataType
+    chunks = _read_chunks(spark, store.part("chunks", batch), id_type)
+    chunks.select("file_id", "segment").distinct().write.mode("overwrite").parquet(store.part("places", batch))
     _write_postings(store, "words", "vocabulary", postings.word_postings(chunks), batch)
     if store.with_grams:
-        _write_postings(store, "grams", "gram_vocabulary", postings.gram_postings(chunks), batch)
+        _write_postings(store, "grams", "gram_vocabulary", postings.gram_presence(chunks), batch)
 
 
 def _write_postings(store: Store, table: str, dictionary: str, rows: DataFrame, batch: int) -> None:
@@ -77,21 +94,33 @@ def _write_postings(store: Store, table: str, dictionary: str, rows: DataFrame,
         .sortWithinPartitions("bucket", "term", *CHUNK_KEY)
         .write.mode("overwrite").partitionBy("bucket").parquet(store.part(table, batch))
     )
-    stored = _read_postings(rows.sparkSession, store.part(table, batch), rows.schema["file_id"].dataType)
+    stored = _read_postings(rows.sparkSession, store.part(table, batch), rows.schema)
     postings.term_stats(stored).write.mode("overwrite").parquet(store.part(dictionary, batch))
 
 
-def _read_postings(spark: SparkSession, path: str, id_type: T.DataType, *partitions: str) -> DataFrame:
-    """Postings with their schema given, as a batch without words leaves no file to infer it from."""
+# Schemas are given when reading: a batch without words leaves no file to infer one from.
+
+
+def _read_postings(spark: SparkSession, path: str, columns: T.StructType, *partitions: str) -> DataFrame:
+    extra = [T.StructField(name, T.IntegerType()) for name in (*partitions, "bucket")]
+    return spark.read.schema(T.StructType([*columns.fields, *extra])).parquet(path)
+
+
+def _read_chunks(spark: SparkSession, path: str, id_type: T.DataType, *partitions: str) -> DataFrame:
+    integers = lambda *names: [T.StructField(n, T.IntegerType()) for n in names]
     schema = T.StructType([
-        T.StructField("term", T.StringType()), T.StructField("file_id", id_type), T.StructField("chunk_no", T.IntegerType()),
-        T.StructField("dl", T.IntegerType()), T.StructField("tf", T.IntegerType()),
-        T.StructField("positions", T.ArrayType(T.IntegerType())),
-        *(T.StructField(name, T.IntegerType()) for name in (*partitions, "bucket")),
+        T.StructField("file_id", id_type), *integers("chunk_no"), T.StructField("content", T.StringType()),
+        *integers("n_words", "n_grams", *partitions, "segment"),
     ])
     return spark.read.schema(schema).parquet(path)
 
 
+def _posting_columns(id_type: T.DataType, counted: bool) -> T.StructType:
+    key = [T.StructField("term", T.StringType()), T.StructField("file_id", id_type), T.StructField("chunk_no", T.IntegerType())]
+    counts = [T.StructField(n, T.IntegerType()) for n in ("dl", "tf")] + [T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    return T.StructType(key + (counts if counted else []))
+
+
 def live_files(store: Store, spark: SparkSession) -> DataFrame:
     """The newest row of every path that is not deleted, with its `batch`."""
     rows = spark.read.parquet(store.table("files"))
@@ -107,27 +136,35 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
     """
     read = lambda name: spark.read.parquet(store.table(name))
     files = live_files(store, spark)
-    chunks = read("chunks")
-    inverted = lambda name: _read_postings(spark, store.table(name), chunks.schema["file_id"].dataType, "batch")
-    words = inverted("words")
-    grams = inverted("grams") if store.with_grams else None
-    vocabulary = read("vocabulary")
-    gram_vocabulary = read("gram_vocabulary") if store.with_grams else None
-    if has_later_batches(store, spark):
+    id_type = files.schema["file_id"].dataType
+    inverted = lambda name, counted: _read_postings(
+        spark, store.table(name), _posting_columns(id_type, counted), "batch"
+    )
+    live = lambda rows: rows.drop("batch")
+    merged = lambda dictionary: dictionary.drop("batch")
+    several = has_later_batches(store, spark)
+    if several:
         versions = files.select("file_id", "batch")
         live = lambda rows: rows.join(versions, ["file_id", "batch"], "left_semi").drop("batch")
-        chunks, words = live(chunks), live(words)
-        grams = None if grams is None else live(grams)
         # Sums over batches may count replaced files: enough to find words and to
         # choose the rarer gram, never used as a score.
-        merge = lambda d: d.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-        vocabulary = merge(vocabulary)
-        gram_vocabulary = None if gram_vocabulary is None else merge(gram_vocabulary)
-    else:
-        chunks, words = chunks.drop("batch"), words.drop("batch")
-        grams = None if grams is None else grams.drop("batch")
+        merged = lambda dictionary: dictionary.groupBy("term").agg(F.sum("df").alias("df"))
+    texts = _read_chunks(spark, store.table("chunks"), id_type, "batch")
+    chunks = live(texts).drop("segment")
+    places = read("places")
+    if several:
+        places = places.join(files.select("file_id", "batch"), ["file_id", "batch"], "left_semi")
     return Corpus(
-        files.drop("batch"), chunks, postings.corpus_stats(chunks), words, grams, vocabulary, gram_vocabulary, store.buckets
+        files=files.drop("batch"),
+        chunks=chunks,
+        stats=postings.corpus_stats(chunks),
+        words=live(inverted("words", True)),
+        grams=live(inverted("grams", False)) if store.with_grams else None,
+        vocabulary=merged(read("vocabulary")),
+        gram_vocabulary=merged(read("gram_vocabulary")) if store.with_grams else None,
+        buckets=store.buckets,
+        texts=texts.select(*CHUNK_KEY, "content", "segment", "batch"),
+        places=places,
     )
 
 

@@ -366,14 +366,14 @@ def search_chunks(spark, sf_dir):
 @register
 def search_context(spark, sf_dir):
     corpus, table, hits = _benchmark_hits(spark, sf_dir)
-    top = search.with_content(search.top_chunks(hits, 10), corpus.chunks, search.result_rows(table, 10))
+    top = search.with_content(search.top_chunks(hits, 10), corpus, search.result_rows(table, 10))
     return top.select("query_id", "rank", *CHUNK_KEY, "score", "content")
 
 
 @register
 def search_snippet(spark, sf_dir):
     corpus, table, hits = _benchmark_hits(spark, sf_dir)
-    top = search.with_snippets(search.top_files(hits, 10), corpus.chunks, table, search.result_rows(table, 10))
+    top = search.with_snippets(search.top_files(hits, 10), corpus, table, search.result_rows(table, 10))
     return top.select("query_id", "rank", *CHUNK_KEY, "score", "snippet")
 
 
@@ -381,7 +381,7 @@ def search_snippet(spark, sf_dir):
 def search_json(spark, sf_dir):
     corpus, table, hits = _benchmark_hits(spark, sf_dir)
     rows = search.result_rows(table, 5)
-    top = search.with_snippets(search.top_files(hits, 5), corpus.chunks, table, rows)
+    top = search.with_snippets(search.top_files(hits, 5), corpus, table, rows)
     return output.as_json(
         search.with_files(top, corpus.files, rows), tables.benchmark_texts(spark, sf_dir)
     )
@@ -430,6 +430,15 @@ def stored_search(spark, sf_dir):
     return top.select("query_id", "rank", "path", "chunk_no", "score")
 
 
+@register
+def stored_context(spark, sf_dir):
+    corpus = _stored(spark, sf_dir)
+    table = C.from_texts(tables.benchmark_texts(spark, sf_dir), "any", bag_of_words=True)
+    hits = _ranked(search.word_matches(corpus, table))
+    top = search.with_content(search.top_chunks(hits, 10), corpus, search.result_rows(table, 10))
+    return top.select("query_id", "rank", *CHUNK_KEY, "score", "content")
+
+
 @register
 def stored_forms(spark, sf_dir):
     corpus = _stored(spark, sf_dir)

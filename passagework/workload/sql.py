@@ -229,6 +229,7 @@ ORACLES["search_chunks"] = f"""{BENCH_HITS}, top AS (SELECT *, {RANK} FROM found
  SELECT query_id, rank, path, chunk_no, score, size_bytes, modified, lang FROM top JOIN files USING (file_id)"""
 ORACLES["search_context"] = f"""{BENCH_HITS}, top AS (SELECT *, {RANK} FROM found QUALIFY rank <= 10)
  SELECT query_id, rank, file_id, chunk_no, score, content FROM top JOIN chunks USING (file_id, chunk_no)"""
+ORACLES["stored_context"] = ORACLES["search_context"]
 
 
 def _routed() -> str:

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from passagework.operators import clauses as C, joins, matching
-from passagework.plans import search
+from passagework.plans import corpus as corpora, search
 from passagework.plans.corpus import scan_corpus
 
 
@@ -71,7 +71,7 @@ def test_substring_branch_takes_tokens_literally(spark):
 def no_broadcast(monkeypatch):
     """Every side counts as too large to broadcast or to keep as a constant."""
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
-    monkeypatch.setattr(search, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(corpora, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(matching, "DIRECT_CLAUSES", 0)
     monkeypatch.setattr(joins, "SALTS", 3)
 

@@ -49,6 +49,21 @@ def test_stored_equals_scanned(spark, place, plan):
     assert stored.files.count() == 4 and stored.chunks.count() == 3
 
 
+def test_texts_of_results_are_read_from_their_segments(spark, place, plan):
+    stores.write_batch(place, listed(spark, FIRST).repartition(3, "path"))
+    corpus = stores.open_corpus(place, spark)
+    table = C.all_of(spark, {"q": "gamma"})
+    top = search.with_content(search.top_chunks(search.word_matches(corpus, table), 2), corpus, 2)
+    assert sorted(r.content for r in top.collect()) == ["beta gamma alpha alpha", "gamma delta"]
+    scan = next(line for line in plan(top).splitlines() if "FileScan parquet" in line and "content" in line)
+    assert "dynamicpruning" in scan.lower()
+
+
+def test_sizing(tmp_path):
+    assert stores.Store.sized("x", 1).buckets == stores.BUCKETS
+    assert stores.Store.sized("x", 100 * 1024**4).buckets == 6400
+
+
 def test_update_equals_rebuild(spark, place, tmp_path):
     stores.write_batch(place, listed(spark, FIRST), 0)
     changes = stores.update(place, listed(spark, SECOND), 1)
