@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions import text as X
-from passagework.operators import postings
+from passagework.operators import joins, postings
 from passagework.operators.clauses import CLAUSE_KEY, ClauseTable
 from passagework.operators.joins import bounded_join, bounded_rows
 from passagework.plans.corpus import Corpus, attach_texts
@@ -35,7 +35,9 @@ def word_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
     else:
         found = _lookup_words(corpus, units, table)
         if table.one_word and "prefix" not in table.forms:
-            return found.select(*HIT, *CHUNK_KEY, "dl", "tf")
+            # One posting is one hit. Placed by chunk for `combine`, counting and scoring
+            # share this shuffle and the postings are read once.
+            return found.select(*HIT, *CHUNK_KEY, "dl", "tf").repartition(*CHUNK_KEY)
     grouped = found.groupBy(*HIT, "n_terms", *CHUNK_KEY, "dl")
     if table.one_word:
         hits = grouped.agg(F.sum("tf").cast("int").alias("tf"))
@@ -160,9 +162,9 @@ def gram_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
         .drop("n_long")
     )
     if corpus.grams is None:
-        return _parts_in_chunks(corpus.chunks, parts, table.rows, X.fold_grams)
+        return _parts_in_chunks(corpus, parts, table.rows, X.fold_grams)
     return _lookup_grams(corpus, parts.filter(long), table.rows).unionByName(
-        _parts_in_chunks(corpus.chunks, parts.filter(~long), table.rows, X.fold_grams)
+        _parts_in_chunks(corpus, parts.filter(~long), table.rows, X.fold_grams)
     )
 
 
@@ -179,28 +181,30 @@ def substring_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
         .withColumn("clause_no", F.row_number().over(Window.partitionBy(*GROUP).orderBy("part")))
         .select(*CLAUSE_KEY, "kind", "part", _musts(F.lit(True)).alias("n_must"), F.lit(False).alias("scored"))
     )
-    return _parts_in_chunks(corpus.chunks, parts, table.rows, X.ascii_lower)
+    return _parts_in_chunks(corpus, parts, table.rows, X.ascii_lower)
 
 
-def _parts_in_chunks(
-    chunks: DataFrame, parts: DataFrame, rows: int | None, fold: Callable[[Column], Column]
-) -> DataFrame:
-    texts = chunks.select(*CHUNK_KEY, fold(F.col("content")).alias("folded"))
+def _parts_in_chunks(corpus: Corpus, parts: DataFrame, rows: int | None, fold: Callable[[Column], Column]) -> DataFrame:
+    texts = corpus.chunks.select(*CHUNK_KEY, fold(F.col("content")).alias("folded"))
+    holds_part = F.contains(F.col("folded"), F.col("part"))
     if rows is not None and rows <= DIRECT_CLAUSES:
         # A short list of parts is a constant of the scan: no join, no shuffle.
         wanted = parts.agg(F.collect_list(F.struct(*HIT, "part"))).scalar()
         found = texts.withColumn("wanted", wanted).select(
             *CHUNK_KEY, "folded", F.inline(F.filter("wanted", lambda p: F.contains(F.col("folded"), p["part"])))
         )
-    else:
-        folded = F.col("folded")
-        grams = F.array_distinct(F.concat(*(X.char_grams(folded, n) for n in range(1, GRAM + 1))))
+        return _measured(found)
+    grams = F.array_distinct(F.concat(*(X.char_grams(F.col("folded"), n) for n in range(1, GRAM + 1))))
+    anchored = parts.withColumn("gram", F.substring("part", 1, GRAM))
+    if rows is not None and rows <= joins.MAX_BROADCAST_ROWS:
         keyed = texts.select(*CHUNK_KEY, "folded", F.explode(grams).alias("gram"))
-        anchored = parts.withColumn("gram", F.substring("part", 1, GRAM))
-        found = bounded_join(keyed, anchored, ["gram"], rows, [F.col(c) for c in CHUNK_KEY]).filter(
-            F.contains(F.col("folded"), F.col("part"))
-        )
-    return _measured(found)
+        return _measured(keyed.join(F.broadcast(anchored), "gram").filter(holds_part))
+    # Too many parts to broadcast: only chunk keys and grams are shuffled, and the text
+    # comes back once for the candidates.
+    keyed = texts.select(*CHUNK_KEY, F.explode(grams).alias("gram"))
+    candidates = bounded_join(keyed, anchored, ["gram"], None, [F.col(c) for c in CHUNK_KEY]).drop("gram")
+    checked = attach_texts(candidates, corpus, None).withColumn("folded", fold(F.col("content")))
+    return _measured(checked.filter(holds_part))
 
 
 def _lookup_grams(corpus: Corpus, parts: DataFrame, rows: int | None) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from passagework.functions.vectors import norm
@@ -233,16 +235,11 @@ def with_paths(results: DataFrame, files: DataFrame) -> DataFrame:
 def file_vectors(embeddings: DataFrame) -> DataFrame:
     """file_id, embedding: the mean of the chunk vectors of a file.
 
-    Sums are built per (file, dimension) before the shuffle, so a file with very
-    many chunks is no large group.
+    The mean is built per task before the shuffle, so a file with very many chunks is
+    no large group.
     """
-    means = (
-        embeddings.select("file_id", F.posexplode("embedding").alias("at", "value"))
-        .groupBy("file_id", "at")
-        .agg(F.avg(F.col("value").cast("double")).alias("value"))
-    )
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda p: p["value"])
-    return means.groupBy("file_id").agg(ordered.alias("embedding"))
+    mean = Summarizer.mean(array_to_vector(F.col("embedding")))
+    return embeddings.groupBy("file_id").agg(vector_to_array(mean).alias("embedding"))
 
 
 def related_files(embeddings: DataFrame, k: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from passagework.functions import snippets, text as X
 from passagework.operators import filters, matching, ranking
 from passagework.operators.clauses import ClauseTable
-from passagework.operators.joins import bounded_join
+from passagework.operators.joins import MAX_BROADCAST_ROWS, bounded_join
 from passagework.plans.corpus import Corpus, attach_texts
 from passagework.schemas import CHUNK_KEY
 
@@ -106,7 +106,10 @@ def with_files(
     results: DataFrame, files: DataFrame, rows: int | None, columns: Sequence[str] = ("path", "title", "tags")
 ) -> DataFrame:
     """Result rows with columns of their file."""
-    return bounded_join(files.select("file_id", *columns), results, ["file_id"], rows, [F.col("file_id")])
+    found = files.select("file_id", *columns)
+    if rows is not None and rows <= MAX_BROADCAST_ROWS:
+        return found.join(F.broadcast(results), "file_id")
+    return found.join(results, "file_id")
 
 
 def with_content(results: DataFrame, corpus: Corpus, rows: int | None) -> DataFrame:

@@ -72,6 +72,7 @@ def no_broadcast(monkeypatch):
     """Every side counts as too large to broadcast or to keep as a constant."""
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(corpora, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(search, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(matching, "DIRECT_CLAUSES", 0)
     monkeypatch.setattr(joins, "SALTS", 3)
 
@@ -84,10 +85,21 @@ def test_salted_joins_give_the_same_hits(spark, small, no_broadcast, plan):
     assert ids(search.substring_matches(small, C.all_of(spark, {"q": "et so"}))) == [3]
 
 
+def test_gram_batches_within_the_broadcast_bound(spark, small, monkeypatch):
+    monkeypatch.setattr(matching, "DIRECT_CLAUSES", 0)
+    assert ids(search.gram_matches(small, C.all_of(spark, {"q": "PHA"}))) == [1, 2, 3]
+    assert ids(search.gram_matches(small, C.all_of(spark, {"q": "alpha g"}))) == [1]
+    assert ids(search.substring_matches(small, C.all_of(spark, {"q": "et so"}))) == [3]
+
+
 def test_salt_spreads_a_hot_word(spark, no_broadcast):
     corpus = corpus_of(spark, ["the"] * 300 + ["rare the"])
-    hits = search.word_matches(corpus, C.all_of(spark, {"a": "the", "b": "rare"}))
+    table = C.all_of(spark, {"a": "the", "b": "rare"})
+    hits = search.word_matches(corpus, table)
     assert len(ids(hits, "a")) == 301 and ids(hits, "b") == [301]
+    top = search.with_files(search.with_snippets(search.top_files(hits, 2), corpus, table, 4), corpus.files, 4)
+    assert {r.query_id: r.snippet for r in top.filter("query_id = 'b'").collect()} == {"b": ">>>rare<<< the"}
+    assert top.count() == 3
 
 
 WORDS = st.lists(st.sampled_from(["a", "b", "ab", "aa", "ba"]), max_size=12).map(" ".join)
