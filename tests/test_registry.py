@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.QUERIES, entry.ORACLES
 
 
 @pytest.fixture(scope="module")
