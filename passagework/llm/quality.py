@@ -121,7 +121,9 @@ def metrics(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
         "n_bullet_lines": starts(["-", "*", "•", "‣"]),
         "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
     }
-    return ready.select("_row", F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]).alias("metrics"))
+    made = F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])
+    # One row in, one row out; no later filter on a count passes this step and computes the counts again.
+    return ready.select("_row", F.explode_outer(F.array(made)).alias("metrics"))
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = METHOD_RULES) -> DataFrame:

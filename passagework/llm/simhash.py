@@ -22,7 +22,7 @@ BUCKET_ROWS = 64
 
 #: The eight bits of a byte, one in each byte of a 64-bit number.
 _LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_GOLDENS = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 # Fingerprints ----------------------------------------------------------------------
@@ -53,7 +53,7 @@ def majorities(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray
     cuts = np.concatenate([np.arange(s, e, 255) for s, e in zip(starts[:-1], starts[1:], strict=True)])
     firsts = np.searchsorted(cuts, starts[:-1])
     for k in range(words):
-        own = mixed(hashes + np.uint64(k) * _GOLDEN) if k else hashes
+        own = mixed(hashes + _GOLDENS[k]) if k else hashes
         lanes = np.add.reduceat(_LANES[own.astype("<u8").view(np.uint8).reshape(-1, 8)], cuts, axis=0)
         sums = np.add.reduceat(lanes.view(np.uint8).reshape(len(cuts), 64), firsts, axis=0, dtype=np.int64)
         bits = 2 * sums > counts[full][:, None]
@@ -74,7 +74,7 @@ def _fingerprinter(size: int, words: int, distinct: bool):
                     digests.extend([xxhash.xxh64_digest(p, SEED) for p in parts])
                 hashes = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
                 prints = majorities(hashes, np.array(counts), words)
-                node = prints[:, 0] if words == 1 else mixed(np.bitwise_xor.reduce(mixed(prints + np.arange(words, dtype=np.uint64) * _GOLDEN), axis=1))
+                node = prints[:, 0] if words == 1 else mixed(np.bitwise_xor.reduce(mixed(prints + _GOLDENS[:words]), axis=1))
                 high = prints.astype(">u8").tobytes()
                 yield pa.RecordBatch.from_pydict({
                     "_row": batch.column("_row").slice(first, end - first),
