@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import contamination, mixing, quality, shards, simhash
+from passagework.llm import contamination, mixing, quality, repeats, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,3 +50,12 @@ def op3_winnowing(spark, sf_dir):
 @register
 def op7_simhash(spark, sf_dir):
     return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_suffix_repeats(spark, sf_dir):
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select(
+        F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed",
+        F.shiftright(F.size("spans"), 1).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
