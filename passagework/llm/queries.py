@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import contamination, mixing, quality, repeats, shards, simhash
+from passagework.llm import contamination, mixing, personal, quality, repeats, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,3 +59,14 @@ def op8_suffix_repeats(spark, sf_dir):
         F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed",
         F.shiftright(F.size("spans"), 1).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@register
+def op4_weak_supervision(spark, sf_dir):
+    rows = personal.personal_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        F.col("_row.doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in personal.BASE_KINDS],
+        F.sha2(personal.span_text("base"), 256).alias("base_sha256"),
+        personal.span_text(F.concat("base", "added")).alias("spans"), personal.span_text("added").alias("added"),
+    )
