@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import contamination, mixing, personal, quality, repeats, shards, simhash
+from passagework.llm import contamination, licenses, mixing, personal, quality, repeats, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,3 +70,9 @@ def op4_weak_supervision(spark, sf_dir):
         F.sha2(personal.span_text("base"), 256).alias("base_sha256"),
         personal.span_text(F.concat("base", "added")).alias("spans"), personal.span_text("added").alias("added"),
     )
+
+
+@register
+def op6_license_rules(spark, sf_dir):
+    rows = licenses.license_labels(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
