@@ -204,7 +204,7 @@ def matched(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "te
     total = used.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(
-        F.struct(*carry).alias("_row"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*[f"`{c}`" for c in carry]).alias("_row"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items"),
     )
     kind = rows.select("_row", "n_words", "runs", "items", "_text").schema

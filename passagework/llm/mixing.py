@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.llm.base import blank_word_count, mixed, text_or_empty, written
 
@@ -94,8 +94,8 @@ def _rounder(seed: int, level: int):
     return rounded
 
 
-def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
+def _mark(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(text))
 
 
 def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -110,8 +110,8 @@ def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "s
     A null source is a source of its own, a text that is null or has no words has size 0 and no copies, repeated rows
     are rounded one by one. No rows give no rows. Every level is written before the next reads it.
     """
-    counts = _marked(docs, key, text).select(
-        F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col("_mark").alias("mark"),
+    counts = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), _mark(key, text).alias("mark"),
         blank_word_count(text_or_empty(text)).alias("size"),
     )
     counts = written(counts, "mix-sizes")
@@ -153,10 +153,11 @@ def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "s
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns they came with."""
-    same = Window.partitionBy("doc_id", "_mark").orderBy(F.lit(1))
-    taken = mixture(docs, seed).filter("copies > 0").select("doc_id", F.col("mark").alias("_mark"), "copies")
-    taken = taken.select(F.struct("doc_id", "_mark", F.row_number().over(same).alias("n")).alias("_id"), "copies")
-    rows = _marked(docs, "doc_id", "text")
-    rows = rows.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "_mark", F.row_number().over(same).alias("n")).alias("_this"), F.struct(*docs.columns).alias("_row"))
-    found = rows.join(taken, F.col("_this").eqNullSafe(F.col("_id")))
-    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    # Equal rows are numbered on either side, so that each meets its own number of copies.
+    number = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.lit(1)))
+    taken = mixture(docs, seed).select(F.col("doc_id").alias("id"), "mark", "copies").filter("copies > 0")
+    taken = taken.select(F.struct("id", "mark", number.alias("n")).alias("taken"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark("doc_id", "text").alias("mark"))
+    rows = rows.select("row", F.struct("id", "mark", number.alias("n")).alias("this"))
+    found = rows.join(taken, F.col("this").eqNullSafe(F.col("taken")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

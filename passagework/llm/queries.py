@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import contamination, licenses, mixing, personal, quality, repeats, shards, simhash
+from passagework.llm import chat, contamination, licenses, lines, mixing, personal, quality, repeats, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,3 +76,15 @@ def op4_weak_supervision(spark, sf_dir):
 def op6_license_rules(spark, sf_dir):
     rows = licenses.license_labels(table(spark, sf_dir, "documents"))
     return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@register
+def op1_tool_links(spark, sf_dir):
+    calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
+    return chat.linked_calls(calls, results, chat.SCHEMAS)
+
+
+@register
+def op2_site_spread(spark, sf_dir):
+    rows = lines.without_boilerplate(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -313,16 +313,15 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 1
     Documents link if 1,024 bits over their distinct five-word shingles put their similarity at `similarity` or more;
     1.5 deviations of that estimate are allowed for. Null ids come last, repeated rows leave one.
     """
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    found = written(fingerprints(marked, ["doc_id", "_mark"], size=5, words=words, distinct=True), "prints")
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("mark"))
+    found = written(fingerprints(marked, ["doc_id", "mark"], size=5, words=words, distinct=True), "prints")
     nodes = written(found.groupBy("node").agg(F.first("fingerprint").alias("fingerprint")), "nodes")
     bits = 64 * words
     agree = 1 - acos(2 * similarity / (1 + similarity)) / pi
     roots = similar(nodes, random_bands(nodes.count(), bits, agree), radius_of(similarity, bits))
     rows = found.select("_row.*", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_mark"))
-    kept = rows.groupBy("root").agg(F.min(order).alias("_kept")).select("_kept")
-    same = marked.withColumn("_this", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_mark")))
-    again = Window.partitionBy("_this").orderBy(F.lit(1))
-    same = same.join(kept, F.col("_this").eqNullSafe(F.col("_kept"))).withColumn("_copy", F.row_number().over(again))
-    return same.filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
+    kept = rows.groupBy("root").agg(F.min(name).alias("kept")).select("kept")
+    number = F.row_number().over(Window.partitionBy("this").orderBy(F.lit(1)))
+    same = marked.select("row", name.alias("this")).join(kept, F.col("this").eqNullSafe(F.col("kept")))
+    return same.select("row", number.alias("n")).filter("n = 1").select("row.*")
