@@ -151,13 +151,14 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
 
 
-def _matcher(block, keep_text: bool):
+def _matcher(sent, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(*sent.value)
         for batch in batches:
             texts, old_runs, old_items = (batch.column(name) for name in ("_text", "runs", "items"))
             for first, end, data, borders in text_parts(texts):
                 words = Words(data, borders)
-                hit, pairs = block.value.matches(words)
+                hit, pairs = block.matches(words)
                 begin = np.searchsorted(words.text, np.arange(end - first + 1))
                 near = np.searchsorted(pairs[:, 0], np.arange(end - first + 1))
                 runs, items = [], []
@@ -169,7 +170,7 @@ def _matcher(block, keep_text: bool):
                         for s, e in zip(was[::2], was[1::2], strict=True):
                             own[s:e] = True
                     runs.append(_runs(own).tolist() if own.any() else [])
-                    new = [block.value.names[i] for i in pairs[near[r] : near[r + 1], 1]]
+                    new = [block.names[i] for i in pairs[near[r] : near[r + 1], 1]]
                     items.append(sorted({*had, *new}) if had else new)
                 columns = {
                     "_row": batch.column("_row").slice(first, end - first),
@@ -210,9 +211,10 @@ def matched(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "te
     kind = rows.select("_row", "n_words", "runs", "items", "_text").schema
     for number in range(blocks):
         part = used.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        block = spark.sparkContext.broadcast(Block.of(part.collect()))
+        block = Block.of(part.collect())
+        sent = spark.sparkContext.broadcast((block.names, block.sizes))
         keep = keep_text or number + 1 < blocks
-        rows = rows.mapInArrow(_matcher(block, keep), kind if keep else kind[:4])
+        rows = rows.mapInArrow(_matcher(sent, keep), kind if keep else kind[:4])
     return rows
 
 
