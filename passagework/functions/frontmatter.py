@@ -2,8 +2,9 @@
 
 Understood: a block between a leading `---` and the next line that starts with
 `---`; `title` and `description` as plain or quoted scalars; `tags` as a flow list
-(`[a, b]`) or a block list (`- a`). A block that is not such a mapping gives
-nothing at all, as does a scalar where the tag list belongs.
+(`[a, b]`) or a block list (`- a`); comments. A block that is not such a mapping gives
+nothing at all, as does a scalar where the tag list belongs, or a title in the folded
+or literal block form (`>`, `|`).
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ BLOCK = r"(?s)\A---(.*?)\n---"
 LINE = r"^\s*$|^\s*#.*$|^[A-Za-z_][\w-]*:(\s.*)?$|^\s+\S.*$|^-\s.*$"
 NESTED_COLON = r"^[A-Za-z_][\w-]*:\s+[^\s\"'\[{|>#].*:\s"
 SCALAR_TAGS = r"(?m)^tags:[ \t]*[^\s\[#]"
-FLOW_TAGS = r"(?m)^tags:[ \t]*\[([^\]]*)\]"
+FLOW_TAGS = r"""(?m)^tags:[ \t]*\[((?:"[^"]*"|'[^']*'|[^\]"'])*)\]"""
+FLOW_ITEM = r"""[ \t\n]*("[^"]*"|'[^']*'|[^,]*)[ \t\n]*(?:,|$)"""
+BLOCK_SCALAR = r"(?m)^(?:title|description):[ \t]+[|>][-+0-9]*[ \t]*(?:#.*)?$"
+# A comment begins with a mark after a blank, outside quotes.
+COMMENT = r"""(?m)^((?:[^"'#\n]|(?<![ \t\n])#|(?<=[ \t\[,])"[^"\n]*"|(?<=[ \t\[,])'[^'\n]*'|(?<![ \t\[,])["'])*?)[ \t]+#.*$"""
 BLOCK_TAGS = r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)"
 BLOCK_ITEM = r"(?m)^[ \t]*-[ \t]+(.*)$"
 
@@ -26,8 +31,8 @@ def has_block(content: Column) -> Column:
 
 
 def body(content: Column) -> Column:
-    """Text after the block; the whole text if there is none."""
-    return F.when(has_block(content), F.regexp_replace(content, BLOCK, "")).otherwise(content)
+    """Text after a readable block; the whole text if there is none."""
+    return F.when(parse(content).isNotNull(), F.regexp_replace(content, BLOCK, "")).otherwise(content)
 
 
 def _unquote(text: Column) -> Column:
@@ -43,7 +48,7 @@ def _scalar(block: Column, key: str) -> Column:
 
 
 def _tags(block: Column) -> Column:
-    flow = F.split(F.regexp_extract(block, FLOW_TAGS, 1), ",")
+    flow = F.regexp_extract_all(F.regexp_extract(block, FLOW_TAGS, 1), F.lit(FLOW_ITEM), F.lit(1))
     listed = F.regexp_extract_all(F.regexp_extract(block, BLOCK_TAGS, 1), F.lit(BLOCK_ITEM), F.lit(1))
     items = F.when(block.rlike(FLOW_TAGS), flow).otherwise(listed)
     clean = F.filter(F.transform(items, _unquote), lambda t: t != "")
@@ -52,7 +57,7 @@ def _tags(block: Column) -> Column:
 
 def _well_formed(block: Column) -> Column:
     lines_ok = F.forall(F.split(block, "\n"), lambda l: l.rlike(LINE) & ~l.rlike(NESTED_COLON))
-    return lines_ok & ~block.rlike(SCALAR_TAGS)
+    return lines_ok & ~block.rlike(SCALAR_TAGS) & ~block.rlike(BLOCK_SCALAR)
 
 
 def parse(content: Column) -> Column:
@@ -65,4 +70,4 @@ def parse(content: Column) -> Column:
             _tags(block).alias("tags"),
         ),
     )
-    return F.when(has_block(content), let(F.regexp_extract(content, BLOCK, 1), fields))
+    return F.when(has_block(content), let(F.regexp_replace(F.regexp_extract(content, BLOCK, 1), COMMENT, "$1"), fields))

@@ -10,7 +10,7 @@ from passagework.operators.filters import is_noise_name
 
 def file_tags(files: DataFrame) -> DataFrame:
     """file_id, tag: one row per file and tag."""
-    return files.select("file_id", F.explode("tags").alias("tag")).dropDuplicates(["file_id", "tag"])
+    return files.select("file_id", F.explode(F.array_distinct("tags")).alias("tag"))
 
 
 def totals(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def by_size(files: DataFrame, max_bytes: int = P.MAX_TEXT_BYTES) -> DataFrame:
 
 
 class IgnoreSet(NamedTuple):
-    """Patterns of one ignore file; sets are independent of each other."""
+    """Patterns of one ignore file and the folder it lies in, empty for the root; sets are independent of each other."""
 
     scope: str
     patterns: tuple[str, ...]
@@ -43,13 +43,13 @@ class IgnoreSet(NamedTuple):
 
 def ignore_set(patterns: Iterable[str], scope: str = "") -> IgnoreSet:
     kept = (p.strip() for p in patterns)
-    return IgnoreSet(scope, tuple(p for p in kept if p and not p.startswith("#")))
+    return IgnoreSet(scope.strip("/"), tuple(p for p in kept if p and not p.startswith("#")))
 
 
 def default_ignores(extra: Iterable[str] = ()) -> list[IgnoreSet]:
     """The built-in names, and user patterns as a second set."""
-    extra = ignore_set(extra, "extra")
-    return [ignore_set(DEFAULT_IGNORES, "default")] + ([extra] if extra.patterns else [])
+    extra = ignore_set(extra)
+    return [ignore_set(DEFAULT_IGNORES)] + ([extra] if extra.patterns else [])
 
 
 def pattern_regex(pattern: str) -> str:
@@ -57,6 +57,8 @@ def pattern_regex(pattern: str) -> str:
     anchored = "/" in pattern.rstrip("/")
     folder_only = pattern.endswith("/")
     core = pattern.strip("/")
+    if core.startswith(("\\!", "\\#")):  # an escaped mark is a plain character
+        core = core[1:]
     # The longest wildcard first, so that `**/` is not taken for two stars.
     parts = re.split(r"(\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]+\])", core)
     wild = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
@@ -72,19 +74,28 @@ def pattern_regex(pattern: str) -> str:
 def is_ignored(path: Column, sets: Iterable[IgnoreSet]) -> Column:
     """True if any set drops the path; within a set the last matching pattern decides.
 
+    A set sees paths below its folder only, relative to that folder.
     A dropped folder takes everything below it along, so a `!` pattern cannot bring
     back a file of such a folder.
     """
 
+    whole = path
+
     def verdict(p: Column, patterns: Sequence[str]) -> Column:
         chain = None
         for pattern in reversed(patterns):
             keep = pattern.startswith("!")
-            matched = p.rlike(pattern_regex(pattern.lstrip("!")))
+            matched = p.rlike(pattern_regex(pattern.removeprefix("!")))
             chain = F.when(matched, F.lit(not keep)) if chain is None else chain.when(matched, F.lit(not keep))
         return chain.otherwise(F.lit(False))
 
-    def one_set(patterns: Sequence[str]) -> Column:
+    def one_set(scope: str, patterns: Sequence[str]) -> Column:
+        if scope:
+            below = F.substring(whole, len(scope) + 2, 1 << 30)
+            return whole.startswith(scope + "/") & judged(below, patterns)
+        return judged(whole, patterns)
+
+    def judged(path: Column, patterns: Sequence[str]) -> Column:
         if not any(p.startswith("!") for p in patterns):
             return path.rlike("|".join(f"(?:{pattern_regex(p)})" for p in patterns))
         parts = F.split(path, "/")
@@ -97,7 +108,7 @@ def is_ignored(path: Column, sets: Iterable[IgnoreSet]) -> Column:
         )
         return F.exists(ancestors, lambda p: verdict(p, patterns))
 
-    return reduce(lambda a, b: a | b, (one_set(s.patterns) for s in sets if s.patterns), F.lit(False))
+    return reduce(lambda a, b: a | b, (one_set(s.scope, s.patterns) for s in sets if s.patterns), F.lit(False))
 
 
 def drop_ignored(files: DataFrame, sets: Iterable[IgnoreSet], path: str = "path", root: str = "") -> DataFrame:

@@ -102,3 +102,11 @@ def test_latest_meta(spark):
         "key string, value string, written_at timestamp",
     )
     assert {r.key: r.value for r in catalog.latest_meta(rows).collect()} == {"k": "new", "n": ""}
+
+
+def test_ignore_sets_have_a_folder_and_marks_can_be_escaped(spark):
+    rows = spark.createDataFrame([(p,) for p in ("a/x.log", "b/x.log", "a/b/y.log", "!keep", "#tag", "ab/x.log")], "path string")
+    left = lambda *sets: sorted(r.path for r in filters.drop_ignored(rows, sets).collect())
+    assert left(filters.ignore_set(["*.log"], "a")) == ["!keep", "#tag", "ab/x.log", "b/x.log"]
+    assert left(filters.ignore_set(["/x.log"], "a/")) == ["!keep", "#tag", "a/b/y.log", "ab/x.log", "b/x.log"]
+    assert left(filters.ignore_set([r"\!keep", r"\#tag", "*.log"])) == []

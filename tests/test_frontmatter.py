@@ -38,3 +38,14 @@ def test_scalars_and_broken_blocks(spark):
 def test_body(spark):
     row = spark.createDataFrame([("---\ntitle: A\n---\nbody\n---\n",), ("plain",)], "s string")
     assert [r.b for r in row.select(frontmatter.body(F.col("s")).alias("b")).collect()] == ["\nbody\n---\n", "plain"]
+
+
+def test_comments_flow_lists_and_block_scalars(spark):
+    assert parsed(spark, "---\ntitle: A # note\ntags: [a, \"b, c\", 'd]'] # more\n---")[:2] == ("A", ["a", "b, c", "d]"])
+    assert parsed(spark, "---\ntitle: \"A # b\"\ntags:\n  - x # c\n  - y#z\n---")[:2] == ("A # b", ["x", "y#z"])
+    assert parsed(spark, "---\ntitle: >\n  folded\n---")[:2] == (None, None)
+
+
+def test_body_of_an_unreadable_block_is_the_whole_text(spark):
+    text = "---\ntitle: x\nfree prose here\n---\nrest"
+    assert spark.createDataFrame([(text,)], "s string").select(frontmatter.body(F.col("s")).alias("b")).first().b == text
