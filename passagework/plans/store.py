@@ -3,7 +3,9 @@
 Every batch adds folders `<table>/batch=<n>`; nothing written before is touched. The
 newest batch of a path wins and a deletion is a file row with `deleted`, so writing a
 batch again after a failure gives the same tables, and a small change costs a small
-batch. A rebuild starts a new folder, and the next rebuild merges all batches.
+batch. The file rows come last and mark a batch as complete: what a broken run left
+behind is not read, and its files are still due. `rebuild` writes all live rows as the
+one batch of a new folder.
 
 Postings are split into hash buckets of the term and sorted by term inside, so a
 query reads the buckets of its words and skips row groups by their term range. Chunks
@@ -13,7 +15,7 @@ that the texts of a result are read from the segments they lie in.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -39,7 +41,7 @@ class Store:
     buckets: int = BUCKETS
     chunk_lines: int = chunking.CHUNK_LINES
     overlap_lines: int = chunking.OVERLAP_LINES
-    max_bytes: int = P.MAX_TEXT_BYTES
+    max_bytes: int | None = None
     extensions: tuple[str, ...] | None = None
     with_grams: bool = True
     segments: int = SEGMENTS
@@ -61,16 +63,22 @@ def write_batch(store: Store, files: DataFrame, batch: int = 0, meta_only: bool
     """Write file rows (with `content`) and all that follows from them as one batch.
 
     `meta_only` leaves out chunks and postings; `all_files` chunks files of any
-    extension and size. Rows with `deleted` set only mark their path as gone.
+    extension. Rows with `deleted` set only mark their path as gone. Files of any size
+    are taken unless the store has `max_bytes`.
     """
     if "deleted" not in files.columns:
         files = files.withColumn("deleted", F.lit(False))
+    if not meta_only:
+        _write_texts(store, files, batch, all_files)
     files.drop("content").write.mode("overwrite").parquet(store.part("files", batch))
-    if meta_only:
-        return
+
+
+def _write_texts(store: Store, files: DataFrame, batch: int, all_files: bool) -> None:
     readable = files.filter(~F.col("deleted") & F.col("content").isNotNull())
     if not all_files:
-        readable = text_files(readable, store.extensions, store.max_bytes)
+        readable = text_files(readable, store.extensions)
+    if store.max_bytes is not None:
+        readable = readable.filter(F.col("size_bytes") <= store.max_bytes)
     cut = chunking.cut_chunks(readable.select("file_id", "content"), store.chunk_lines, store.overlap_lines)
     spark = files.sparkSession
     (
@@ -80,7 +88,8 @@ def write_batch(store: Store, files: DataFrame, batch: int = 0, meta_only: bool
     )
     id_type = files.schema["file_id"].dataType
     chunks = _read_chunks(spark, store.part("chunks", batch), id_type)
-    chunks.select("file_id", "segment").distinct().write.mode("overwrite").parquet(store.part("places", batch))
+    # Every file with chunks has a chunk 0.
+    chunks.filter("chunk_no = 0").select("file_id", "segment").write.mode("overwrite").parquet(store.part("places", batch))
     _write_postings(store, "words", "vocabulary", postings.word_postings(chunks), batch)
     if store.with_grams:
         _write_postings(store, "grams", "gram_vocabulary", postings.gram_presence(chunks), batch)
@@ -137,21 +146,23 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
     read = lambda name: spark.read.parquet(store.table(name))
     files = live_files(store, spark)
     id_type = files.schema["file_id"].dataType
-    inverted = lambda name, counted: _read_postings(
+    inverted = lambda name, counted: complete(_read_postings(
         spark, store.table(name), _posting_columns(id_type, counted), "batch"
-    )
+    ))
     live = lambda rows: rows.drop("batch")
     merged = lambda dictionary: dictionary.drop("batch")
-    several = has_later_batches(store, spark)
+    done = complete_batches(store, spark)
+    several = len(done) > 1
+    complete = lambda rows: rows.filter(F.col("batch").isin(done))
     if several:
         versions = files.select("file_id", "batch")
         live = lambda rows: rows.join(versions, ["file_id", "batch"], "left_semi").drop("batch")
         # Sums over batches may count replaced files: enough to find words and to
         # choose the rarer gram, never used as a score.
         merged = lambda dictionary: dictionary.groupBy("term").agg(F.sum("df").alias("df"))
-    texts = _read_chunks(spark, store.table("chunks"), id_type, "batch")
+    texts = complete(_read_chunks(spark, store.table("chunks"), id_type, "batch"))
     chunks = live(texts).drop("segment")
-    places = read("places")
+    places = complete(read("places"))
     if several:
         places = places.join(files.select("file_id", "batch"), ["file_id", "batch"], "left_semi")
     return Corpus(
@@ -160,17 +171,32 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
         stats=postings.corpus_stats(chunks),
         words=live(inverted("words", True)),
         grams=live(inverted("grams", False)) if store.with_grams else None,
-        vocabulary=merged(read("vocabulary")),
-        gram_vocabulary=merged(read("gram_vocabulary")) if store.with_grams else None,
+        vocabulary=merged(complete(read("vocabulary"))),
+        gram_vocabulary=merged(complete(read("gram_vocabulary"))) if store.with_grams else None,
         buckets=store.buckets,
         texts=texts.select(*CHUNK_KEY, "content", "segment", "batch"),
         places=places,
     )
 
 
-def has_later_batches(store: Store, spark: SparkSession) -> bool:
-    batches = spark.read.parquet(store.table("files")).select("batch").distinct()
-    return batches.count() > 1
+def complete_batches(store: Store, spark: SparkSession) -> list[int]:
+    """Numbers of the batches that were written to their end; one for each run since the last rebuild."""
+    rows = spark.read.parquet(store.table("files")).select("batch").distinct()
+    return sorted(r.batch for r in rows.collect())
+
+
+def rebuild(store: Store, folder: str, spark: SparkSession) -> Store:
+    """Write the live rows of all batches as the only batch of a new folder; sources are not read again."""
+    corpus, target = open_corpus(store, spark), replace(store, folder=folder)
+    chunks = corpus.chunks.withColumn("segment", F.pmod(F.spark_partition_id(), F.lit(store.segments)))
+    chunks.write.mode("overwrite").partitionBy("segment").parquet(target.part("chunks", 0))
+    written = _read_chunks(spark, target.part("chunks", 0), corpus.files.schema["file_id"].dataType)
+    written.filter("chunk_no = 0").select("file_id", "segment").write.mode("overwrite").parquet(target.part("places", 0))
+    _write_postings(target, "words", "vocabulary", corpus.words.drop("bucket"), 0)
+    if store.with_grams:
+        _write_postings(target, "grams", "gram_vocabulary", corpus.grams.drop("bucket"), 0)
+    corpus.files.withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(target.part("files", 0))
+    return target
 
 
 def stored_before(store: Store, spark: SparkSession, batch: int) -> DataFrame:
@@ -189,16 +215,22 @@ def update(store: Store, listed: DataFrame, batch: int, all_files: bool = False)
     """
     spark = listed.sparkSession
     stored = stored_before(store, spark, batch)
-    changes = change_set(stored, listed)
+    # Small rows, written once: they steer the batch and are handed back.
+    change_set(stored, listed).write.mode("overwrite").parquet(store.part("changes", batch))
+    changes = spark.read.schema("path string, change string").parquet(store.part("changes", batch))
     wanted = changes.filter(F.col("change").isin("new", "changed")).select("path")
     gone = changes.filter(F.col("change") == "deleted").select("path")
-    oldest = (
-        listed.select("path", "modified").join(wanted, "path", "left_semi")
-        .agg(F.unix_micros(F.min("modified"))).first()[0]
-    )
-    fresh = listed.filter(F.lit(False)) if oldest is None else listed.filter(
-        F.col("modified").isNull() | (F.col("modified") >= F.timestamp_micros(F.lit(oldest)))
-    ).join(wanted, "path", "left_semi")
+    # One look at the wanted rows: whether there are any, and their oldest time if all have one.
+    times = listed.select("path", "modified").join(wanted, "path", "left_semi").agg(
+        F.count(F.lit(1)), F.count("modified"), F.unix_micros(F.min("modified"))
+    ).first()
+    if not times[0]:
+        fresh = listed.filter(F.lit(False))
+    elif times[1]:
+        late = F.col("modified") >= F.timestamp_micros(F.lit(times[2]))
+        fresh = listed.filter(F.col("modified").isNull() | late).join(wanted, "path", "left_semi")
+    else:
+        fresh = listed.filter(F.col("modified").isNull()).join(wanted, "path", "left_semi")
     removed = stored.join(gone, "path", "left_semi").withColumns(
         {"content": F.lit(None).cast("string"), "deleted": F.lit(True)}
     )

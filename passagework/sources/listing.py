@@ -80,9 +80,10 @@ def describe(listing: DataFrame, indexed_at: datetime, file_id: Column | None =
 
 
 def text_files(
-    files: DataFrame, extensions: Sequence[str] | None = None, max_bytes: int = P.MAX_TEXT_BYTES
+    files: DataFrame, extensions: Sequence[str] | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """The files whose text is cut into chunks."""
+    """The files whose text is cut into chunks: text files that are not empty, of any size unless bounded."""
     from passagework.operators import filters
 
-    return filters.by_size(filters.by_text_extension(files, extensions), max_bytes)
+    chosen = filters.by_text_extension(files, extensions)
+    return chosen.filter("size_bytes > 0") if max_bytes is None else filters.by_size(chosen, max_bytes)

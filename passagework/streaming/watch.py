@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.functions.text import valid_text
@@ -35,9 +35,18 @@ def folder_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -
 
 
 def last_versions(batch: DataFrame) -> DataFrame:
-    """One row per path: the version modified last."""
-    newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("size_bytes"))
-    return batch.withColumn("place", F.row_number().over(newest)).filter("place = 1").drop("place")
+    """One row per path: the version modified last. Only keys are compared, texts stay where they are."""
+    rows = batch.withColumn("_place", F.monotonically_increasing_id())
+    version = F.struct("modified", "size_bytes", "_place")
+    newest = rows.groupBy("path").agg(F.max(version).alias("_newest")).select("_newest")
+    # The place names a row, so one key is enough.
+    return rows.join(newest.select(F.col("_newest._place").alias("_place")), "_place", "left_semi").drop("_place")
+
+
+def not_older(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows that are no older than the stored version of their path."""
+    known = stored.select("path", F.col("modified").alias("_was"))
+    return rows.join(known, "path", "left").filter("_was is null or modified is null or modified >= _was").drop("_was")
 
 
 def watch(
@@ -47,13 +56,16 @@ def watch(
     """Write every micro-batch of a file stream into the store.
 
     The stream keeps no state: a batch is written under its number, and a batch that
-    runs again after a failure replaces its own folders. Without `interval` all files
-    present are taken and the query ends. `described` streams carry full file rows.
+    runs again after a failure replaces its own folders. A version that arrives after a
+    newer one of its path is left out. Without `interval` all files present are taken
+    and the query ends. `described` streams carry full file rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         rows = last_versions(batch)
         files = rows if described else describe(rows, datetime.now())
+        if number:
+            files = not_older(files, stored_before(store, batch.sparkSession, number))
         write_batch(store, files, number, all_files=all_files)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

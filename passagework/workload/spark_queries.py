@@ -107,7 +107,8 @@ def filter_size(spark, sf_dir):
 
 @register
 def filter_ignore(spark, sf_dir):
-    sets = filters.default_ignores(PAGE_IGNORES)
+    # The last set lies in a folder that no page is below, so it drops nothing.
+    sets = [*filters.default_ignores(PAGE_IGNORES), filters.ignore_set(["*"], "elsewhere")]
     pages = tables.page_paths(spark, sf_dir).withColumn("path", F.concat(F.lit("/site/"), "path"))
     return filters.drop_ignored(pages, sets, root="/site")
 
@@ -610,12 +611,48 @@ def incremental_store(spark, sf_dir):
     place = stores.Store(scratch_folder(spark, "index"), with_grams=False)
     stores.write_batch(place, stored, 0, all_files=True)
     stores.update(place, listed, 1, all_files=True)
-    corpus = stores.open_corpus(place, spark)
+    return _stored_chunks(stores.open_corpus(place, spark))
+
+
+def _stored_chunks(corpus):
     return corpus.chunks.join(corpus.files.select("file_id", "path"), "file_id").select(
         "path", "chunk_no", F.md5("content").alias("digest")
     )
 
 
+@register
+def store_recovery(spark, sf_dir):
+    """The same change after a run that broke before its file rows, and without modification times."""
+    stored, listed = _snapshots(spark, sf_dir)
+    place = stores.Store(scratch_folder(spark, "index"), with_grams=False)
+    stores.write_batch(place, stored, 0, all_files=True)
+    stores._write_texts(place, listed.withColumn("deleted", F.lit(False)), 1, all_files=True)  # no file rows follow
+    stores.update(place, listed.withColumn("modified", F.lit(None).cast("timestamp")), 2, all_files=True)
+    return _stored_chunks(stores.open_corpus(place, spark))
+
+
+@register
+def stored_rebuilt(spark, sf_dir):
+    """The same change as two batches, merged into one of a new folder."""
+    stored, listed = _snapshots(spark, sf_dir)
+    place = stores.Store(scratch_folder(spark, "index"), with_grams=False)
+    stores.write_batch(place, stored, 0, all_files=True)
+    stores.update(place, listed, 1, all_files=True)
+    return _stored_chunks(stores.open_corpus(stores.rebuild(place, scratch_folder(spark, "rebuilt"), spark), spark))
+
+
+@register
+def stream_late(spark, sf_dir):
+    """documents are stored, then older versions of them arrive; the newer ones stay."""
+    rows = tables.files(tables.texts(spark, sf_dir))
+    place = stores.Store(scratch_folder(spark, "late"), with_grams=False)
+    stores.write_batch(place, rows, 0, all_files=True)
+    older = rows.withColumns({"modified": F.col("modified") - F.expr("interval 1 day"), "content": F.lit("older")})
+    late = streams.not_older(streams.last_versions(older), stores.stored_before(place, spark, 1))
+    stores.write_batch(place, late, 1, all_files=True)
+    return stores.open_corpus(place, spark).chunks.select(*CHUNK_KEY, F.md5("content").alias("digest"))
+
+
 @register
 def stream_index(spark, sf_dir):
     """documents arriving as a stream; the final chunks equal those of a batch run."""

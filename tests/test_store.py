@@ -2,6 +2,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from passagework.operators import clauses as C, matching
 from passagework.plans import incremental, search, store as stores
@@ -130,3 +131,50 @@ def test_folder_listing(spark, tmp_path):
     assert (described["a.MD"].title, described["a.MD"].extension, described["a.MD"].lang) == ("T", ".md", "Markdown")
     assert described["a.MD"].content.endswith("x�")
     assert "content" not in rows._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("broken", range(7))
+def test_a_broken_run_loses_nothing(spark, place, tmp_path, monkeypatch, broken):
+    stores.write_batch(place, listed(spark, FIRST), 0)
+    # Break the update after `broken` tables, then go on under another number.
+    original, written = stores.Store.part, []
+
+    def part(self, name, batch):
+        if batch == 1 and name not in written:
+            if len(written) == broken:
+                raise OSError("lost")
+            written.append(name)
+        return original(self, name, batch)
+
+    monkeypatch.setattr(stores.Store, "part", part)
+    with pytest.raises(OSError):
+        stores.update(place, listed(spark, SECOND), 1)
+    monkeypatch.undo()
+    assert sorted(r.path for r in stores.live_files(place, spark).collect()) == sorted(FIRST)
+    assert stores.open_corpus(place, spark).chunks.count() == 3
+    stores.update(place, listed(spark, SECOND), 2)
+    rebuilt = stores.rebuild(place, str(tmp_path / "rebuilt"), spark)
+    fresh = stores.Store(str(tmp_path / "fresh"), buckets=4)
+    stores.write_batch(fresh, listed(spark, SECOND))
+    table, one = C.clause_table(spark, FORMS), C.clause_table(spark, {"g": [[C.phrase("lpha")]]})
+    want = [found(search.word_matches(stores.open_corpus(fresh, spark), table)), found(search.gram_matches(stores.open_corpus(fresh, spark), one))]
+    for other in (place, rebuilt):
+        corpus = stores.open_corpus(other, spark)
+        assert [found(search.word_matches(corpus, table)), found(search.gram_matches(corpus, one))] == want
+    assert stores.complete_batches(rebuilt, spark) == [0] and stores.complete_batches(place, spark) == [0, 2]
+
+
+def test_files_without_a_time_are_taken(spark, place):
+    stores.write_batch(place, listed(spark, FIRST), 0)
+    new = listed(spark, {**FIRST, "n.md": (1, "new words"), "m.md": (2, "more words")})
+    for gone in (["n.md"], ["n.md", "m.md"]):
+        rows = new.withColumn("modified", F.when(~F.col("path").isin(gone), F.col("modified")))
+        stores.update(place, rows, 1)
+        assert {r.path for r in stores.live_files(place, spark).collect()} == {*FIRST, "n.md", "m.md"}
+        assert stores.open_corpus(place, spark).chunks.count() == 5
+
+
+def test_long_files_are_indexed(spark, place):
+    text = "word " * 200_000
+    stores.write_batch(place, listed(spark, {"long.md": (1, text)}))
+    assert stores.open_corpus(place, spark).chunks.count() == 1

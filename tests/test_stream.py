@@ -75,3 +75,11 @@ def test_last_version_wins_within_a_batch(spark):
         "path string, modified timestamp, size_bytes long, content string",
     )
     assert sorted(r.content for r in streams.last_versions(rows).collect()) == ["b", "new"]
+
+
+def test_a_late_older_version_loses(spark):
+    stored = spark.createDataFrame([("a", datetime(2024, 1, 2)), ("c", None)], "path string, modified timestamp")
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("b", datetime(2024, 1, 1)), ("c", datetime(2024, 1, 1))], "path string, modified timestamp")
+    assert sorted(r.path for r in streams.not_older(rows, stored).collect()) == ["b", "c"]
+    same = spark.createDataFrame([("a", datetime(2024, 1, 2), 1, "x")] * 2, "path string, modified timestamp, size_bytes long, content string")
+    assert streams.last_versions(same).count() == 1
