@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -59,10 +60,15 @@ def _score(rows: DataFrame, *columns: str) -> DataFrame:
 
 @register
 def scan_files(spark, sf_dir):
-    rows = sources.list_files(spark, sf_dir, "*.parquet")
-    return sources.describe(rows, tables.INDEXED_AT).select(
-        "filename", "extension", "size_bytes", P.epoch_seconds(F.col("modified")).alias("modified")
-    )
+    """Listed files of three tables, and how many rows each holds."""
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    listed = sources.describe(sources.list_files(spark, sf_dir, "*.parquet"), tables.INDEXED_AT)
+    counts = [
+        tables.read(spark, sf_dir, t).groupBy(plain(F.col("_metadata.file_path")).alias("at")).agg(F.count("*").alias("n_rows"))
+        for t in ("benchmark", "documents", "pages")
+    ]
+    held = reduce(DataFrame.unionByName, counts)
+    return listed.join(held, plain(F.col("path")) == F.col("at")).select("filename", "extension", "n_rows")
 
 
 @register

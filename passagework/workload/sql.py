@@ -353,3 +353,5 @@ ORACLES["store_recovery"] = ORACLES["incremental_apply"]
 ORACLES["stored_rebuilt"] = ORACLES["incremental_apply"]
 ORACLES["stream_late"] = ORACLES["chunk_lines"].replace("SELECT file_id, chunk_no, content FROM", "SELECT file_id, chunk_no, md5(content) AS digest FROM")
 ORACLES["stream_index"] = f"{CHUNKS} SELECT file_id, chunk_no, md5(content) AS digest FROM chunks"
+ORACLES["scan_files"] = " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS filename, '.parquet' AS extension, count(*) AS n_rows FROM {t}" for t in ("benchmark", "documents", "pages"))
