@@ -80,7 +80,3 @@ def relative_path(path: Column, root: str) -> Column:
 
 def epoch_seconds(ts: Column) -> Column:
     return F.unix_millis(ts) / F.lit(1000.0)
-
-
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))

@@ -16,7 +16,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from passagework.functions.vectors import norm
 from passagework.operators.ranking import best_per_file, top_k
 
 # Tasks get the functions of this module themselves and need no installed package.
@@ -24,8 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
-# Texts per embedder call, and the text length the prototype kept.
-EMBED_BATCH, EMBED_CHARS = 20, 2000
+# Fixed value: texts per embedder call.
+EMBED_BATCH = 20
 # Queries up to this many numbers (32 MiB) go to every task with the task itself.
 MAX_QUERY_NUMBERS = 4 * 1024 * 1024
 # Target rows of a block on each side of a block join.
@@ -259,7 +258,3 @@ def compare_methods(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
         "method",
         F.when(F.col("semantic_rank").isNull(), "keyword").when(F.col("keyword_rank").isNull(), "semantic").otherwise("both"),
     )
-
-
-def nonzero(embeddings: DataFrame) -> DataFrame:
-    return embeddings.filter(norm(F.col("embedding")) > 0)

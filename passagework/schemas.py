@@ -11,25 +11,6 @@ from pyspark.sql import types as T
 
 CHUNK_KEY = ["file_id", "chunk_no"]
 
-LISTING = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("size_bytes", T.LongType(), True),
-    T.StructField("modified", T.TimestampType(), True),
-])
-
-FILES = T.StructType([
-    T.StructField("file_id", T.StringType(), False),
-    T.StructField("path", T.StringType(), False),
-    T.StructField("filename", T.StringType(), False),
-    T.StructField("extension", T.StringType(), True),
-    T.StructField("size_bytes", T.LongType(), True),
-    T.StructField("modified", T.TimestampType(), True),
-    T.StructField("lang", T.StringType(), True),
-    T.StructField("title", T.StringType(), True),
-    T.StructField("tags", T.ArrayType(T.StringType()), True),
-    T.StructField("indexed_at", T.TimestampType(), True),
-])
-
 META = T.StructType([
     T.StructField("key", T.StringType(), False),
     T.StructField("value", T.StringType(), True),
