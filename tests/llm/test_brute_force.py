@@ -266,6 +266,27 @@ def test_one_document_of_each_near_group_stays(spark, docs_of):
     assert sorted(r.doc_id for r in out.collect()) == [*range(40), 300]
 
 
+@pytest.mark.parametrize("rows_of_a_pair", [2_048, 4])
+def test_near_copies_are_judged_on_their_sets(spark, docs_of, monkeypatch, rows_of_a_pair):
+    monkeypatch.setattr(simhash, "PAIR_ROWS", rows_of_a_pair)
+    rng = np.random.default_rng(8)
+
+    def changed(words, count, mark):
+        out = list(words)
+        for n, k in enumerate(rng.choice(79, count, replace=False) * 5 + 4):  # each change touches five shingles of 396
+            out[k] = f"{mark}x{n}"
+        return " ".join(out)
+
+    rows, kept = [], set()
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows += [(i, " ".join(words), "s"), (100 + i, changed(words, 8 if i < 20 else 9, i), "s")]  # 356 / 436 and 351 / 441
+        kept |= {i} if i < 20 else {i, 100 + i}
+    words = [f"v{x}" for x in rng.integers(0, 5000, 400)]
+    rows += [(1000 + i, changed(words, 4, f"m{i}"), "s") for i in range(12)]  # any two at 0.8 or more: 356 / 436 at least
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs_of(rows)).collect()) == [*sorted(kept), 1000]
+
+
 # Repeated passages ------------------------------------------------------------------
 
 
