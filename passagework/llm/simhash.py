@@ -281,13 +281,29 @@ def _linker(radius: int):
     return run
 
 
+def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`rows` with the rows of every key in `blocks` (key, blocks) dealt into so many blocks; each pair of blocks has a key.
+
+    Any two rows of a key meet under at least one of the new keys, which hold two blocks; other keys stay as they are.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pair = lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j))
+    keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
+    # There are fewer such keys than rows / BLOCK_ROWS, or bytes / PAIR_BYTES.
+    both = rows.join(F.broadcast(blocks), "key", "left")
+    return both.select(F.explode(keys).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
 def similar(prints: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
     """(node, root): the class of every fingerprint (node, fingerprint) that is not the first of its class.
 
     Each distinct fingerprint goes into one bucket for each bit set; only fingerprints of a bucket are compared. Copies
-    of a fingerprint count once, so no group of copies fills a bucket.
+    of a fingerprint count once, so no group of copies fills a bucket. A bucket above `BLOCK_ROWS` rows is dealt into
+    blocks, and each pair of blocks is compared in a task of its own.
     """
     keyed = prints.mapInArrow(_keyed(tables), "key long, node long, fingerprint binary")
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
+    keyed = dealt(keyed, large.select("key", F.ceil(2 * F.col("n") / BLOCK_ROWS).cast("long").alias("blocks")))
     # Hash partitions keep a key whole, the sort puts it together.
     edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linker(radius), "a long, b long")
     return components(edges)
@@ -383,19 +399,6 @@ def _verifier(similarity: float):
     return run
 
 
-def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """`rows` with the rows of every key in `blocks` (key, blocks) dealt into so many blocks; each pair of blocks has a key.
-
-    Any two rows of a key meet under at least one of the new keys, which hold two blocks; other keys stay as they are.
-    """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pair = lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j))
-    keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
-    # There are fewer such keys than rows / BLOCK_ROWS, or bytes / PAIR_BYTES.
-    both = rows.join(F.broadcast(blocks), "key", "left")
-    return both.select(F.explode(keys).alias("key"), *[c for c in rows.columns if c != "key"])
-
-
 def alike(groups: DataFrame, texts: DataFrame, similarity: float, size: int = 5) -> DataFrame:
     """Links (a, b) that connect the nodes of each group whose shingle sets have a Jaccard similarity of `similarity` or more.
 

@@ -1,6 +1,8 @@
 """Queries that SQL cannot express, against plain Python over the smallest tables and over odd rows."""
 
+import glob
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -251,6 +253,37 @@ def test_large_buckets_leave_a_forest():
     assert len(a) == 897 and set(b) == {0, 300, 600}
 
 
+def test_large_buckets_are_dealt_over_tasks(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    linker = simhash._linker
+    folder = simhash.written(spark.range(0), "buckets").inputFiles()[0].rsplit("/", 1)[0]
+
+    def counted(radius):
+        run = linker(radius)
+
+        def links(batches):
+            import os
+            import uuid
+            from collections import Counter
+
+            held = list(batches)
+            sizes = Counter(k for batch in held for k in batch.column("key").to_pylist())
+            with open(os.path.join(folder.removeprefix("file:"), f"{uuid.uuid4().hex}.size"), "w") as out:
+                out.write(str(max(sizes.values(), default=0)))
+            yield from run(iter(held))
+
+        return links
+
+    monkeypatch.setattr(simhash, "_linker", counted)
+    # Fingerprints that differ in few of the last bits share all other blocks.
+    prints = [(1 << 62) | sum(1 << b for b in chosen) for n in range(4) for chosen in itertools.combinations(range(12), n)]
+    nodes = spark.createDataFrame([(p, p.to_bytes(8, "big")) for p in prints], "node long, fingerprint binary")
+    roots = {r.node: r.root for r in simhash.similar(nodes, simhash.shared_blocks(len(prints)), 3).collect()}
+    assert roots == {p: min(prints) for p in prints if p != min(prints)}
+    seen = [int(open(p).read()) for p in glob.glob(folder.removeprefix("file:") + "/*.size")]
+    assert max(seen) <= 48 < len(prints) == 299
+
+
 def test_one_document_of_each_near_group_stays(spark, docs_of):
     rng = np.random.default_rng(7)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(40)]
