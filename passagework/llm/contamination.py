@@ -67,7 +67,7 @@ class Words:
         width, smallest = 1, grams
         while width < size - k + 1:
             step = min(width, size - k + 1 - width)
-            smallest = np.minimum(smallest[: len(smallest) - step], smallest[step:])
+            smallest = np.minimum(smallest[: max(0, len(smallest) - step)], smallest[step:])
             width += step
         return smallest
 

@@ -88,6 +88,16 @@ def test_contamination_without_items_or_documents(spark, docs_of, odd_rows):
     assert contamination.clean_documents(docs_of([]), none).columns == docs_of([]).columns
 
 
+@pytest.mark.parametrize("size", range(1, 14))
+def test_fingerprints_of_short_parts(size):
+    for count in range(31):
+        text = " ".join(f"w{i}" for i in range(count)).encode()
+        words = contamination.Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+        k = min(5, size)
+        grams = contamination.mixed(contamination._combined(words.hashes[0], contamination._BASES[0], k)).tolist()
+        assert words.fingerprints(size).tolist() == [min(grams[i : i + size - k + 1]) for i in range(count - size + 1)]
+
+
 # Personal data ----------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
