@@ -80,42 +80,53 @@ def ordered(calls: DataFrame) -> DataFrame:
     return now.select(*keys, F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for every call and result: conv_id, call_id, tool, depth, state, problems and json.
+def every_call(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """One row for every call and every result that no call is linked with: conv_id, call_id, tool, depth, state, problems and json.
 
     `calls` has conv_id, call_id, turn, tool, arguments (JSON text) and after (the call it builds on, or null), `results`
     has conv_id, call_id, turn and content. `state` is linked, unanswered (a call without a result), orphan (a
-    result without a call), early (a result before its call) or repeated (an identifier with several calls or several
-    results; the earliest is linked, the others keep this state). `json` has sorted keys and no blanks. (conv_id, depth, turn,
-    call_id) is a topological order: a call comes after the one it builds on, a result with its call.
+    result without a call), early (its only results come before it) or repeated (a further call or result of an identifier,
+    each a row of its own). Linked are the earliest call and the earliest result that does not come before it, or the
+    earliest result if all do. `n_calls` and `n_results` count those of the identifier. `json` has sorted keys and no
+    blanks. (conv_id, depth, turn, call_id) is a topological order: a call comes after the one it builds on, a result
+    with its call.
 
     Identifiers are joined by hash; a null identifier meets nothing. No row is dropped, and a conversation of any
     length stays spread over its calls.
     """
     key = ["conv_id", "call_id"]
 
-    def firsts(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        """The earliest row of every identifier, and how many there are; all values follow the earliest one."""
-        one = rows.filter("conv_id is not null and call_id is not null").groupBy(*key).agg(
-            F.min(F.struct("turn", *[c for c in columns if c != "turn"])).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        lone = rows.filter("conv_id is null or call_id is null").select(
-            *key, F.struct("turn", *[c for c in columns if c != "turn"]).alias("_first"), F.lit(1).cast("long").alias("_n"))
-        return one, lone
-
-    asked, nameless = firsts(calls, ["turn", "tool", "arguments", "after"])
-    answered, stray = firsts(results, ["turn", "content"])
-    depth = ordered(asked.select(*key, F.col("_first.after").alias("after")))
-    both = asked.withColumnsRenamed({"_first": "call", "_n": "n_calls"}).join(
-        answered.withColumnsRenamed({"_first": "result", "_n": "n_results"}), key, "full_outer")
-    both = both.join(depth, key, "left")
-    none_call, none_result = F.lit(None).cast(both.schema["call"].dataType), F.lit(None).cast(both.schema["result"].dataType)
-    null = F.lit(None).cast("long")
-    alone = nameless.select(*key, F.col("_first").alias("call"), F.col("_n").alias("n_calls"), none_result.alias("result"), null.alias("n_results"), null.alias("depth"))
-    strays = stray.select(*key, none_call.alias("call"), null.alias("n_calls"), F.col("_first").alias("result"), F.col("_n").alias("n_results"), null.alias("depth"))
-    rows = both.select(alone.columns).unionByName(alone).unionByName(strays)
+    asked = calls.select(*key, F.struct("turn", "tool", "arguments", "after").alias("call"))
+    answered = results.select(*key, F.struct("turn", "content").alias("result"))
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = asked.filter(known).groupBy(*key).agg(F.min("call").alias("call"), F.count(F.lit(1)).alias("n_calls"))
+    depth = ordered(first.select(*key, F.col("call.after").alias("after")))
+    # The earliest result from the call on, or else the earliest of all.
+    late = F.when(F.col("result.turn") < F.col("call.turn"), 1).otherwise(0).alias("late")
+    told = answered.filter(known).join(first.drop("n_calls"), key, "left").groupBy(*key).agg(
+        F.min(F.struct(late, F.col("result"))).getField("result").alias("result"), F.count(F.lit(1)).alias("n_results"))
+    both = first.join(told, key, "full_outer").join(depth, key, "left")
+
+    def others(rows: DataFrame, column: str, chosen: DataFrame) -> DataFrame:
+        """The rows beside the chosen one of each identifier, of equal rows all but one; and those without identifier."""
+        again = rows.filter(known).groupBy(*key, column).agg(F.count(F.lit(1)).alias("_n"))
+        again = again.join(chosen.withColumnRenamed(column, "_first"), key)
+        left = F.col("_n") - F.when(F.col(column).eqNullSafe(F.col("_first")), 1).otherwise(0)
+        again = again.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(left, F.lit(1).cast("long"))))).filter(left > 0)
+        counts = both.select(*key, "n_calls", "n_results", "depth")
+        again = again.join(counts, key).select(*key, column, "n_calls", "n_results", "depth", F.lit(True).alias("again"))
+        one, null = F.lit(1).cast("long"), F.lit(None).cast("long")
+        own = (one, null) if column == "call" else (null, one)
+        lone = rows.filter(~known).select(
+            *key, column, own[0].alias("n_calls"), own[1].alias("n_results"), null.alias("depth"), F.lit(False).alias("again"))
+        return again.unionByName(lone)
+
+    more_calls = others(asked, "call", first.select(*key, "call"))
+    more_results = others(answered, "result", told.select(*key, "result"))
+    rows = both.withColumn("again", F.lit(False)).unionByName(more_calls, allowMissingColumns=True).unionByName(more_results, allowMissingColumns=True)
     rows = rows.withColumn("_parsed", F.try_parse_json("call.arguments"))
     state = (
-        F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "unanswered")
+        F.when(F.col("again"), "repeated").when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "unanswered")
         .when(F.col("result.turn") < F.col("call.turn"), "early").otherwise("linked")
     )
     found = F.when(F.col("call").isNotNull(), problems(F.col("call.tool"), F.col("_parsed"), F.col("call.arguments"), schemas))
@@ -132,6 +143,11 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> Data
     )
 
 
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """`every_call` without the repeated ones: one row for every identifier, and for every call and result without one."""
+    return every_call(calls, results, schemas).filter("state <> 'repeated'")
+
+
 # The conversations table ------------------------------------------------------------
 
 #: Tools that a user's turn calls in turn, and what their schemas ask for.

@@ -81,7 +81,7 @@ def op6_license_rules(spark, sf_dir):
 @register
 def op1_tool_links(spark, sf_dir):
     calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
-    return chat.linked_calls(calls, results, chat.SCHEMAS)
+    return chat.every_call(calls, results, chat.SCHEMAS)
 
 
 @register

@@ -70,6 +70,20 @@ def test_tool_links(spark):
     assert none.collect() == []
 
 
+def test_every_call_and_result_stays(spark):
+    calls = [(1, "d", 5, "search", "{}", None), (1, "d", 6, "translate", '{"text":"x"}', None), (1, "d", 6, "translate", '{"text":"x"}', None),
+             (1, "d", 5, "search", "{}", None), (1, "v", 4, "search", "{}", None), (None, "n", 1, "search", "{}", None)]
+    results = [(1, "d", 7, "first"), (1, "d", 9, "second"), (1, "v", 2, "too early"), (1, "v", 8, "valid"), (1, "g", 3, "ghost"), (1, "g", 4, None)]
+    rows = chat.every_call(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), chat.SCHEMAS).collect()
+    got = sorted((str(r.call_id), r.state, r.turn, str(r.tool), json.loads(r.json)["result"] or "", r.n_calls, r.n_results) for r in rows)
+    assert got == sorted([
+        ("d", "linked", 5, "search", "first", 4, 2), ("d", "repeated", 5, "search", "", 4, 2), ("d", "repeated", 6, "translate", "", 4, 2),
+        ("d", "repeated", 6, "translate", "", 4, 2), ("d", "repeated", 9, "None", "second", 4, 2), ("v", "linked", 4, "search", "valid", 1, 2),
+        ("v", "repeated", 2, "None", "too early", 1, 2), ("g", "orphan", 3, "None", "ghost", 0, 2), ("g", "repeated", 4, "None", "", 0, 2),
+        ("n", "unanswered", 1, "search", "", 1, 0)])
+    assert next(r.problems for r in rows if r.state == "repeated" and r.turn == 5) == "limit: missing; query: missing"
+
+
 def test_long_chain(spark):
     calls = spark.range(300).selectExpr("1L conv_id", "cast(id as string) call_id", "id turn", "'search' tool", "'{}' arguments", "cast(id - 1 as string) after")
     depth = {r.call_id: r.depth for r in chat.ordered(calls.select("conv_id", "call_id", "after")).collect()}
