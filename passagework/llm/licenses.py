@@ -14,15 +14,12 @@ from passagework.llm.base import LOWER, UPPER, text_or_empty
 # Phrases that are found wherever their words stand in a row, and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Every rule and every phrase needs one of these; texts without any are not looked into.
-GATE = r"(?i)licen[cs]|copyright|creative commons|public domain|spdx|rights reserved|hereby granted|gpl|\bcc\b|\bcc0\b"
-
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 @dataclass(frozen=True)
 class Signature:
-    """A rule: `pattern` is tried on texts with `keyword`; a lower `priority` number wins over a higher one."""
+    """A rule: `pattern` is tried on texts with `keyword`, which every match holds; a lower `priority` number wins over a higher one."""
 
     label: str
     keyword: str
@@ -34,14 +31,16 @@ class Signature:
 # Families: label, keyword, the ways to write the name, versions. Patterns see small words with one space between them;
 # "2.0" reads "2 0" there.
 _FAMILIES = [
-    ("gpl", "general public licen", ["(?:the )?gnu general public licen[cs]e", "gnu gpl"], ["1", "2", "3"]),
+    ("gpl", "general public licen", ["(?:the )?gnu general public licen[cs]e"], ["1", "2", "3"]),
+    ("gpl", "gpl", ["gnu gpl"], ["1", "2", "3"]),
     ("lgpl", "general public licen", ["(?:the )?gnu (?:lesser|library) general public licen[cs]e"], ["2", "2.1", "3"]),
     ("agpl", "affero", ["(?:the )?gnu affero general public licen[cs]e"], ["1", "3"]),
     ("gpl", "gpl", ["gpl"], ["1", "2", "3"]),
     ("lgpl", "lgpl", ["(?:gnu )?lgpl"], ["2", "2.1", "3"]),
     ("agpl", "agpl", ["(?:gnu )?agpl"], ["1", "3"]),
     ("gfdl", "free documentation licen", ["(?:the )?gnu free documentation licen[cs]e"], ["1.1", "1.2", "1.3"]),
-    ("apache", "apache", ["(?:the )?apache (?:software )?licen[cs]e", "asl"], ["1.0", "1.1", "2.0"]),
+    ("apache", "apache", ["(?:the )?apache (?:software )?licen[cs]e"], ["1.0", "1.1", "2.0"]),
+    ("apache", " asl ", ["asl"], ["1.0", "1.1", "2.0"]),
     ("mpl", "mozilla public licen", ["(?:the )?mozilla public licen[cs]e"], ["1.0", "1.1", "2.0"]),
     ("epl", "eclipse public licen", ["(?:the )?eclipse public licen[cs]e"], ["1.0", "2.0"]),
     ("cddl", "common development and distribution", ["(?:the )?common development and distribution licen[cs]e"], ["1.0", "1.1"]),
@@ -62,7 +61,8 @@ _FAMILIES = [
     ("odbl", "open database licen", ["(?:the )?open database licen[cs]e"], ["1.0"]),
     ("odc-by", "open data commons", ["open data commons attribution licen[cs]e"], ["1.0"]),
     ("pddl", "open data commons", ["open data commons public domain dedication and licen[cs]e"], ["1.0"]),
-    ("mit", "mit licen", ["(?:the )?mit licen[cs]e", "(?:the )?expat licen[cs]e"], []),
+    ("mit", "mit licen", ["(?:the )?mit licen[cs]e"], []),
+    ("mit", "expat licen", ["(?:the )?expat licen[cs]e"], []),
     ("wtfpl", "what the fuck", ["do what the fuck you want to public licen[cs]e"], ["1", "2"]),
 ]
 _CC_PARTS = {
@@ -83,7 +83,7 @@ _SENTENCES = [
     ("unlicense", "unlicense", "(?:the )?unlicense", 2, 0.8),
     ("all-rights-reserved", "rights reserved", "all rights reserved", 3, 0.5),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 4, 0.3),
-    ("license-notice", "licen", "(?:licensed|released|distributed) under", 4, 0.2),
+    ("license-notice", "ed under", "(?:licensed|released|distributed) under", 4, 0.2),
 ]
 
 
@@ -111,16 +111,16 @@ def signatures() -> list[Signature]:
     for code, words in _CC_PARTS.items():
         short = code.replace("-", " ")
         for version in _CC_VERSIONS:
-            add(f"cc-{code}-{version}", "cc", f"cc {short} {_version(version)}", 2, 0.9)
+            add(f"cc-{code}-{version}", " cc ", f"cc {short} {_version(version)}", 2, 0.9)
             add(f"cc-{code}-{version}", "creative commons", f"creative commons {words}(?: (?:unported|international|generic))? (?:licen[cs]e )?(?:version )?{_version(version)}", 2, 0.9)
-        add(f"cc-{code}", "cc", f"cc {short}(?! (?:sa|nd|nc))", 3, 0.75)
+        add(f"cc-{code}", " cc ", f"cc {short}(?! (?:sa|nd|nc))", 3, 0.75)
         add(f"cc-{code}", "creative commons", f"creative commons {words}", 3, 0.75)
-    for zero in ("cc0", "cc zero", "creative commons zero"):
-        add("cc0-1.0", zero.split()[0] if zero != "creative commons zero" else "creative commons", f"{zero}(?: (?:version )?1(?: 0)?)?", 2, 0.9)
+    for keyword, zero in ((" cc0 ", "cc0"), (" cc ", "cc zero"), ("creative commons", "creative commons zero")):
+        add("cc0-1.0", keyword, f"{zero}(?: (?:version )?1(?: 0)?)?", 2, 0.9)
     for clauses, words in _BSD.items():
-        add(f"bsd-{clauses}", "bsd", f"(?:the )?(?:{words}) (?:clause )?bsd(?: licen[cs]e)?", 2, 0.9)
-        add(f"bsd-{clauses}", "bsd", f"(?:the )?bsd {clauses} clause(?: licen[cs]e)?", 2, 0.9)
-    add("bsd", "bsd licen", "(?:the )?(?:modified )?bsd(?: style)? licen[cs]e", 3, 0.75)
+        add(f"bsd-{clauses}", " bsd ", f"(?:the )?(?:{words}) (?:clause )?bsd(?: licen[cs]e)?", 2, 0.9)
+        add(f"bsd-{clauses}", " bsd ", f"(?:the )?bsd {clauses} clause(?: licen[cs]e)?", 2, 0.9)
+    add("bsd", " bsd ", "(?:the )?(?:modified )?bsd(?: style)? licen[cs]e", 3, 0.75)
     for name in sorted({r.label for r in out}):
         words = name.replace("-", " ").replace(".", " ")
         add(name, "spdx", f"spdx licen[cs]e identifier {words}(?! (?:only|or|[0-9]))", 1, 1.0)
@@ -129,6 +129,17 @@ def signatures() -> list[Signature]:
     return out
 
 
+def gate(rules: list[Signature]) -> str:
+    """A pattern that every rule's keyword and every base phrase meets; texts without any are not looked into.
+
+    Blanks at the ends of a keyword stand for the ends of a word.
+    """
+    words = {r.keyword for r in rules} | set(BASE_PHRASES)
+    least = sorted(w for w in words if not any(x != w and x in w for x in words))
+    edge = lambda w: ("(?<![^ ])" * w.startswith(" "), "(?![^ ])" * w.endswith(" "))
+    return "(?i)" + "|".join(f"{edge(w)[0]}{w.strip()}{edge(w)[1]}" for w in least)
+
+
 LEVELS = 4
 
 
@@ -202,14 +213,15 @@ def scanned(docs: DataFrame, text: str = "text", rules: list[Signature] | None =
     the row: nothing is shuffled or collected, a text with many notices costs its own task only. Null and empty
     texts have no words and no detections, repeated rows have the same ones, columns of `docs` may have any name.
     """
+    rules = signatures() if rules is None else rules
     rows = docs.select(F.struct("*").alias("_row"), text_or_empty(text).alias("_text"))
     rows = rows.select("_row", F.btrim(F.regexp_replace("_text", SEPARATORS, " "), F.lit(" ")).alias("_spaced"))
     # Only texts behind the gate are made small and looked into.
-    rows = rows.withColumn("_norm", F.when(F.col("_spaced").rlike(GATE), F.concat(F.lit(" "), F.translate("_spaced", UPPER, LOWER), F.lit(" "))))
+    rows = rows.withColumn("_norm", F.when(F.col("_spaced").rlike(gate(rules)), F.concat(F.lit(" "), F.translate("_spaced", UPPER, LOWER), F.lit(" "))))
     norm = F.col("_norm")
     phrases = F.array_compact(F.array(*[F.when(norm.contains(f" {p} "), F.lit(label)) for p, label in BASE_PHRASES.items()]))
     rows = rows.withColumn("_labels", phrases)
-    table = _table(signatures() if rules is None else rules)
+    table = _table(rules)
     active = F.filter(table, lambda r: norm.contains(r["keyword"]))
     detections = F.when(norm.isNotNull(), _resolved(F.flatten(F.transform(active, lambda r: _found(norm, r)))))
     found = F.struct(

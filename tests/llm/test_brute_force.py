@@ -199,6 +199,44 @@ def test_license_rules(spark, docs_of, odd_rows):
     assert licenses.license_labels(docs_of([])).count() == 0
 
 
+def samples(pattern):
+    """Texts that a pattern matches: with and without optional parts, and one for each way of a choice."""
+
+    def of(parts):
+        out = [""]
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                ways = [chr(value)]
+            elif name == "IN":
+                ways = [chr(x) if str(o) == "LITERAL" else chr(x[0]) for o, x in value]
+            elif name == "BRANCH":
+                ways = [x for branch in value[1] for x in of(branch)]
+            elif name == "SUBPATTERN":
+                ways = of(value[3])
+            elif name == "MAX_REPEAT":
+                ways = [x * value[0] for x in of(value[2])[:1]] + of(value[2])
+            else:
+                ways = [""]  # looks around
+            out = [out[n % len(out)] + ways[n % len(ways)] for n in range(max(len(out), len(ways)))]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_signature_fires_on_its_own_match(spark, docs_of):
+    rules = licenses.signatures()
+    texts = [(n, t) for n, r in enumerate(rules) for t in samples(r.pattern) if re.search(r.pattern, f" {t} ")]
+    assert {n for n, _ in texts} == set(range(len(rules)))
+    assert [(rules[n].keyword, t) for n, t in texts if rules[n].keyword not in f" {t} "] == []
+    out = licenses.license_labels(docs_of([(n, t.upper(), "s") for n, t in texts])).select("_row.doc_id", "_row.text", "labels", "score").collect()
+    assert [r for r in out if not r.labels or not r.score] == []
+    notices = {"3-clause BSD": "bsd-3", "This program is free software; you can redistribute it and/or modify it": "gpl", "Expat License": "mit", "ASL 2.0": "apache-2.0",
+               "a BSD-style license": "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "released under": "license-notice"}
+    found = licenses.license_labels(docs_of([(n, t, "s") for n, t in enumerate(notices)])).select("_row.text", "labels").collect()
+    assert {r.text: r.labels for r in found} == notices
+
+
 # SimHash ----------------------------------------------------------------------------
 
 
