@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
 
 # Candidates beyond it ---------------------------------------------------------------
 
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_-]{8,128})(?![A-Za-z0-9+/_-])")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_-]{8,}+)")
 _MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 _SOCIAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")

@@ -144,6 +144,12 @@ def test_method_adds_secrets_and_keeps_the_base(spark, docs_of):
     assert personal.personal_spans(docs_of([]), ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("size", [7, 8, 128, 129, 200, 100_000])
+def test_secrets_of_any_length(size):
+    text = "api_key = " + ("a1b2" * size)[:size]
+    assert [s for s in personal.candidates(text, []) if s[0] == "secret"] == ([("secret", 10, 10 + size)] if size >= 8 else [])
+
+
 def test_reliabilities_find_the_truth():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.6
