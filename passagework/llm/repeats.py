@@ -115,23 +115,24 @@ def _scattered(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("_doc").to_numpy()
+        ids, owns = batch.column("_doc").to_numpy(), batch.column("_own").to_numpy()
         found = []
         for first, _, data, borders in text_parts(batch.column("_text"), PART_BYTES):
             text, start, count, key, mark, loop = stretches(data, borders)
-            found.append((ids[first + text], (start * 128 + count) * 2 + loop, key.view(np.int64), mark.view(np.int64)))
+            found.append((ids[first + text], owns[first + text], (start * 128 + count) * 2 + loop, key.view(np.int64), mark.view(np.int64)))
         if not found:
             continue
-        doc, place, key, mark = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((place, doc))
-        doc, place, key, mark = doc[order], place[order], key[order], mark[order]
-        once = ~_later(doc, place, key, mark)  # a row that came twice is no copy of itself
-        doc, place, key, mark = doc[once], place[once], key[once], mark[once]
+        doc, own, place, key, mark = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((place, own, doc))
+        doc, own, place, key, mark = doc[order], own[order], place[order], key[order], mark[order]
+        once = ~_later(doc, own, place, key, mark)  # a row that came twice is no copy of itself
+        doc, own, place, key, mark = doc[once], own[once], place[once], key[once], mark[once]
         # Copies inside the batch are settled here, so that a common passage sends one row from each batch.
         again = _later(key, mark)
-        key = np.where(again, _scattered(doc, place), key)
+        key = np.where(again, _scattered(doc ^ own, place), key)
         yield pa.RecordBatch.from_pydict({
-            "key": pa.array(key), "mark": pa.array(np.where(again, 0, mark)), "doc": pa.array(doc), "place": pa.array(place * 2 + again),
+            "key": pa.array(key), "mark": pa.array(np.where(again, 0, mark)), "doc": pa.array(doc), "own": pa.array(own),
+            "place": pa.array(place * 2 + again),
         })
 
 
@@ -141,7 +142,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common, last = None, None  # a common key, and its last mark
 
     def judged(rows: np.ndarray, common_key: bool, before: int | None = None) -> pa.RecordBatch:
-        key, mark, doc, place = rows
+        key, mark, doc, own, place = rows
         again = place & 1 == 1
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
@@ -154,15 +155,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.repeat(marks > COMMON, sizes) | common_key
         # A row that was read twice (the same document and place) is no copy of itself.
         same = np.zeros(len(key), dtype=bool)
-        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (own[1:] == own[:-1]) & (place[1:] == place[:-1])
         state = np.where(again | ~new, SETTLED, np.where(many, OPEN_COMMON, OPEN))
         kept = (again | ~new | several) & ~(same & ~again)
         return pa.RecordBatch.from_pydict({
-            "key": pa.array(key[kept]), "doc": pa.array(doc[kept]), "place": pa.array(place[kept] >> 2), "state": pa.array(state[kept].astype(np.int32)),
+            "key": pa.array(key[kept]), "doc": pa.array(doc[kept]), "own": pa.array(own[kept]), "place": pa.array(place[kept] >> 2), "state": pa.array(state[kept].astype(np.int32)),
         })
 
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy() for c in ("key", "mark", "doc", "place")])
+        rows = np.stack([batch.column(c).to_numpy() for c in ("key", "mark", "doc", "own", "place")])
         if not rows.shape[1]:
             continue
         if common is not None:
@@ -189,32 +190,35 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of open stretches; those of common hashes window by window."""
     for batch in batches:
-        keys, docs, starts, bodies, settled = [], [], [], [], []
-        wide: list[tuple[int, int, bytes]] = []
-        for doc, text, places in zip(batch.column("_doc").to_pylist(), batch.column("_text").to_pylist(), batch.column("open").to_pylist(), strict=True):
+        keys, docs, owns, starts, bodies, settled = [], [], [], [], [], []
+        wide: list[tuple[int, int, int, bytes]] = []
+        columns = (batch.column(c).to_pylist() for c in ("_doc", "_own", "_text", "open"))
+        for doc, own, text, places in zip(*columns, strict=True):
             raw = (text or "").encode()
             for row in places:
                 start, count = row["place"] >> 7, row["place"] & 127
                 if row["state"] == OPEN_COMMON:
-                    wide += [(doc, s, raw[s : s + LENGTH]) for s in range(start, start + count)]
+                    wide += [(doc, own, s, raw[s : s + LENGTH]) for s in range(start, start + count)]
                 else:
                     keys.append(row["key"])
                     docs.append(doc)
+                    owns.append(own)
                     starts.append(start)
                     bodies.append(raw[start : start + count + LENGTH - 1])
                     settled.append(False)
-        first: dict[bytes, tuple[int, int]] = {}
-        for doc, start, body in sorted(wide):
+        first: dict[bytes, tuple[int, int, int]] = {}
+        for doc, own, start, body in sorted(wide):
             digest = hashlib.blake2b(body, digest_size=16).digest()
-            again = first.setdefault(digest, (doc, start)) != (doc, start)
-            keys.append(hash((doc, start)) if again else int.from_bytes(digest[:8], "little", signed=True))
+            again = first.setdefault(digest, (doc, own, start)) != (doc, own, start)
+            keys.append(hash((doc, own, start)) if again else int.from_bytes(digest[:8], "little", signed=True))
             docs.append(doc)
+            owns.append(own)
             starts.append(start)
             bodies.append(b"" if again else body)
             settled.append(again)
         yield pa.RecordBatch.from_pydict({
-            "key": pa.array(keys, type=pa.int64()), "doc": pa.array(docs, type=pa.int64()), "start": pa.array(starts, type=pa.int64()),
-            "body": pa.array(bodies, type=pa.binary()), "settled": pa.array(settled, type=pa.bool_()),
+            "key": pa.array(keys, type=pa.int64()), "doc": pa.array(docs, type=pa.int64()), "own": pa.array(owns, type=pa.int64()),
+            "start": pa.array(starts, type=pa.int64()), "body": pa.array(bodies, type=pa.binary()), "settled": pa.array(settled, type=pa.bool_()),
         })
 
 
@@ -273,24 +277,27 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
-        keys, docs, starts = (rows.column(c).combine_chunks().to_numpy() for c in ("key", "doc", "start"))
+        keys, docs, owns, starts = (rows.column(c).combine_chunks().to_numpy() for c in ("key", "doc", "own", "start"))
         bodies, settled = rows.column("body").to_pylist(), rows.column("settled").to_pylist()
-        out_doc, out_start, out_end = [], [], []
-        fresh = _fresh(keys, docs, starts, settled)
+        out_doc, out_own, out_start, out_end = [], [], [], []
+        fresh = _fresh(keys, docs, owns, starts, settled)
         chosen = np.flatnonzero(fresh)
         for i, flags in zip(chosen, repeated_windows(keys[chosen], [bodies[i] for i in chosen]) if len(chosen) else [], strict=True):
             if flags.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 for s, e in zip(edges[::2], edges[1::2], strict=True):
                     out_doc.append(docs[i])
+                    out_own.append(owns[i])
                     out_start.append(starts[i] + s)
                     out_end.append(starts[i] + e - 1 + LENGTH)
         for i in np.flatnonzero(settled):
             out_doc.append(docs[i])
+            out_own.append(owns[i])
             out_start.append(starts[i])
             out_end.append(starts[i] + LENGTH)
         return pa.RecordBatch.from_pydict({
-            "doc": pa.array(out_doc, type=pa.int64()), "start": pa.array(out_start, type=pa.int64()), "end": pa.array(out_end, type=pa.int64()),
+            "doc": pa.array(out_doc, type=pa.int64()), "own": pa.array(out_own, type=pa.int64()),
+            "start": pa.array(out_start, type=pa.int64()), "end": pa.array(out_end, type=pa.int64()),
         })
 
     held, size = [], 0
@@ -314,10 +321,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(held)
 
 
-def _fresh(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, settled: list[bool]) -> np.ndarray:
+def _fresh(keys: np.ndarray, docs: np.ndarray, owns: np.ndarray, starts: np.ndarray, settled: list[bool]) -> np.ndarray:
     """Rows to compare: not settled, and not the row before read twice."""
     out = ~np.array(settled, dtype=bool)
-    out[1:] &= (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
+    out[1:] &= (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (owns[1:] != owns[:-1]) | (starts[1:] != starts[:-1])
     return out
 
 
@@ -352,31 +359,35 @@ def without_repeats(docs: DataFrame, carry: list[str], key: str = "doc_id", text
     same one. `spans` has begin and end of the removed runs in turn, `kept` the bytes that stay. Strings are judged on
     the input. Texts are UTF-8 bytes; null and empty ones, and those below 100 bytes, lose nothing.
 
-    A null key comes before all others. Rows of one key are one document: a row read twice is no copy of itself, and
-    what is removed at some place of one of them is removed there in all.
+    A null key comes before all others. A document is a key and a hash of its text, for a null key of all its columns;
+    documents of one key are in order of that hash. Rows that agree in both are one row read more than once, which is
+    no copy of itself: what is removed from one of them is removed from all.
 
-    Shuffled are about a thirtieth of all positions as (hash, mark, key, place), the texts once by their key, and the bytes
+    Shuffled are about a thirtieth of all positions as (hash, mark, document, place), the texts once by their document, and the bytes
     around places where copies begin or end. Copies that agree as a whole are settled on their marks, inside a batch
     before the shuffle; a hash with over `COMMON` different stretches is spread window by window.
     """
     spark = docs.sparkSession
     ids = F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID))
-    texts = docs.select(ids.alias("_doc"), F.col(text).alias("_text"), F.struct(*carry).alias("_row"))
-    rows = texts.select("_doc", "_text").mapInArrow(_anchor_rows, "key long, mark long, doc long, place long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "mark", "doc", "place")
-    found = written(rows.mapInArrow(_settle, "key long, doc long, place long, state int"), "stretches")
-
-    by_doc = texts.repartition("_doc")  # both joins below use this one exchange
-    opened = found.filter(F.col("state") != SETTLED).groupBy("doc").agg(F.collect_list(F.struct("key", "place", "state")).alias("open"))
-    pairs = by_doc.join(opened, F.col("_doc") == F.col("doc"), "left").filter("open is not null").select("_row", "_doc", "_text", "open")
-    bodies = pairs.mapInArrow(_contexts, "key long, doc long, start long, body binary, settled boolean")
-    bodies = bodies.repartition("key").sortWithinPartitions("key", "doc", "start")
-    matches = bodies.mapInArrow(_match, "doc long, start long, end long")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.to_json(F.struct(*others)))).otherwise(F.xxhash64(F.col(text)))
+    texts = docs.select(ids.alias("_doc"), own.alias("_own"), F.col(text).alias("_text"), F.struct(*carry).alias("_row"))
+    rows = texts.select("_doc", "_own", "_text").mapInArrow(_anchor_rows, "key long, mark long, doc long, own long, place long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "mark", "doc", "own", "place")
+    found = written(rows.mapInArrow(_settle, "key long, doc long, own long, place long, state int"), "stretches")
+
+    by_doc = texts.repartition("_doc", "_own")  # both joins below use this one exchange
+    opened = found.filter(F.col("state") != SETTLED).groupBy("doc", "own").agg(F.collect_list(F.struct("key", "place", "state")).alias("open"))
+    this = (F.col("_doc") == F.col("doc")) & (F.col("_own") == F.col("own"))
+    pairs = by_doc.join(opened, this, "left").filter("open is not null").select("_row", "_doc", "_own", "_text", "open")
+    bodies = pairs.mapInArrow(_contexts, "key long, doc long, own long, start long, body binary, settled boolean")
+    bodies = bodies.repartition("key").sortWithinPartitions("key", "doc", "own", "start")
+    matches = bodies.mapInArrow(_match, "doc long, own long, start long, end long")
 
     settled = found.filter(F.col("state") == SETTLED).withColumn("start", F.shiftright("place", 7))
-    settled = settled.select("doc", "start", (F.col("start") + F.col("place").bitwiseAND(127) + LENGTH - 1).alias("end"))
-    runs = matches.unionByName(settled).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    both = by_doc.join(runs, F.col("_doc") == F.col("doc"), "left").select("_row", "_text", "runs")
+    settled = settled.select("doc", "own", "start", (F.col("start") + F.col("place").bitwiseAND(127) + LENGTH - 1).alias("end"))
+    runs = matches.unionByName(settled).groupBy("doc", "own").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    both = by_doc.join(runs, this, "left").select("_row", "_text", "runs")
     kind = T.StructType([
         texts.schema["_row"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType()),

@@ -415,6 +415,26 @@ def test_repeats_of_odd_rows(spark, docs_of, odd_rows, monkeypatch, common):
     assert repeats.without_repeats(docs_of([]), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("common", [2_048, 1])
+def test_repeats_of_null_and_repeated_keys(spark, docs_of, monkeypatch, common):
+    monkeypatch.setattr(repeats, "COMMON", common)
+    rng = np.random.default_rng(6)
+    fresh = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage, whole, other = fresh(150), fresh(300), fresh(150)
+    heads, tails = [fresh(n) for n in (40, 110, 230, 60, 90)], [fresh(120) for _ in range(5)]
+    # A sign of its own before and after the passage, so that no copy is longer than it.
+    texts = [f"{h}{n}{passage}{n}{t}" for n, (h, t) in enumerate(zip(heads, tails, strict=True))]
+    rows = [(None, t, "s") for t in texts[:3]] + [(9, t, "s") for t in texts[3:]]
+    rows += [(None, whole, "s"), (None, whole, "another source"), (7, other, "s"), (7, other, "s"), (8, other, "s")]
+    out = repeats.without_repeats(docs_of(rows), ["doc_id", "text"]).collect()
+    kept = {r._row.text: bytes(r.kept).decode() for r in out if r._row.text in texts}
+    left = [t for t in texts if kept[t] == t]
+    assert len(left) == 1 and left[0] in texts[:3]
+    assert all(kept[t] == t.replace(passage, "") for t in texts if t != left[0])
+    assert sorted(r.n_removed for r in out if r._row.text == whole) == [0, 300]
+    assert sorted((r._row.doc_id, r.n_removed) for r in out if r._row.text == other) == [(7, 0), (7, 0), (8, 150)]
+
+
 def test_previous_factors():
     rng = np.random.default_rng(2)
     text = "".join(rng.choice(list("ab"), 200))
