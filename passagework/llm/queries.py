@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import chat, contamination, licenses, lines, mixing, personal, quality, repeats, shards, simhash
+from passagework.llm import chat, contamination, exact, licenses, lines, mixing, personal, quality, repeats, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,3 +88,11 @@ def op1_tool_links(spark, sf_dir):
 def op2_site_spread(spark, sf_dir):
     rows = lines.without_boilerplate(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op12_exact_dedup(spark, sf_dir):
+    rows = exact.exact_groups(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select(
+        F.col("_row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )

@@ -90,8 +90,16 @@ counts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = '' AS kept, failed FROM named
 """
 
+EXACT_DEDUP = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST, r) = 1 AS kept, sha256(body) AS text_sha256
+FROM docs
+"""
+
 ORACLES: dict[str, str] = {
     "op1_tool_links": TOOL_LINKS,
     "op2_site_spread": SITE_SPREAD,
     "op5_quality_rules": QUALITY_RULES,
+    "op12_exact_dedup": EXACT_DEDUP,
 }
