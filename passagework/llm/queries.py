@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import chat, contamination, exact, licenses, lines, mixing, personal, quality, repeats, shards, simhash
+from passagework.llm import chat, contamination, exact, licenses, lines, mixing, personal, quality, repeats, shards, simhash, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -96,3 +96,8 @@ def op12_exact_dedup(spark, sf_dir):
     return rows.select(
         F.col("_row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+@register
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
