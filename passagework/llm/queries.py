@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import chat, contamination, exact, licenses, lines, mixing, personal, quality, repeats, shards, simhash, spelling
+from passagework.llm import chat, collocations, contamination, exact, licenses, lines, mixing, personal, quality, repeats, shards, simhash, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,3 +101,8 @@ def op12_exact_dedup(spark, sf_dir):
 @register
 def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -97,9 +97,35 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM docs
 """
 
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+places AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS size) WHERE len(ws) >= size),
+counts AS (SELECT lang, size, ws[i:i + size - 1] AS phrase, count(*) AS f FROM places GROUP BY ALL),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, unnest(range(1, size)) AS k FROM counts WHERE size > 1 AND f >= 10
+), parts AS (
+  SELECT c.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1:k] JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:]
+), best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, inner_phrase, max(a) AS a
+  FROM (SELECT lang, unnest([phrase[1:2], phrase[2:3]]) AS inner_phrase, a FROM best WHERE size = 3) GROUP BY ALL
+), kept AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, b.a, l, r, score::BIGINT AS score
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.inner_phrase = b.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * b.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_tool_links": TOOL_LINKS,
     "op2_site_spread": SITE_SPREAD,
     "op5_quality_rules": QUALITY_RULES,
+    "op11_collocations": COLLOCATIONS,
     "op12_exact_dedup": EXACT_DEDUP,
 }
