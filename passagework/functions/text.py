@@ -11,6 +11,8 @@ WORD_PATTERN = r"[\p{L}\p{N}\p{Co}]+"
 CJK_CLASS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 INK_PATTERN = r"(?U)\S"
 SPACE_PATTERN = r"(?U)\s+"
+# Characters of a gram.
+GRAM = 3
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,12 +52,12 @@ def fold_grams(text: Column) -> Column:
     return F.lower(text)
 
 
-def char_grams(folded: Column, size: int = 3) -> Column:
+def char_grams(folded: Column, size: int = GRAM) -> Column:
     """Every run of `size` characters of an already folded text, overlapping."""
     return F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
-def gram_count(text: Column, size: int = 3) -> Column:
+def gram_count(text: Column, size: int = GRAM) -> Column:
     return F.greatest(F.char_length(text) - (size - 1), F.lit(0))
 
 

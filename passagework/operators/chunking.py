@@ -35,6 +35,11 @@ def line_windows(text: Column, size: int, step: int) -> Column:
     return let(F.split(text, "\n", -1), cut)
 
 
+def kept_windows(text: Column, size: int = CHUNK_LINES, overlap: int = OVERLAP_LINES) -> Column:
+    """The windows of a text that are not blank."""
+    return F.filter(line_windows(text, size, window_plan(size, overlap)[1]), has_ink)
+
+
 def cut_chunks(
     files: DataFrame,
     size: int = CHUNK_LINES,

@@ -24,10 +24,15 @@ NOISE_PARTS = [
 ]
 
 
+def is_text_extension(extensions: Sequence[str] | None = None) -> Column:
+    """Whether `extension` is one of text; `extensions` replaces the built-in list."""
+    allowed = P.TEXT_EXTENSIONS if extensions is None else [P.dotted(e.lower()) for e in extensions]
+    return F.lower("extension").isin(allowed)
+
+
 def by_text_extension(files: DataFrame, extensions: Sequence[str] | None = None) -> DataFrame:
     """Text files only; `extensions` replaces the built-in list."""
-    allowed = P.TEXT_EXTENSIONS if extensions is None else [P.dotted(e.lower()) for e in extensions]
-    return files.filter(F.lower("extension").isin(allowed))
+    return files.filter(is_text_extension(extensions))
 
 
 def by_size(files: DataFrame, max_bytes: int = P.MAX_TEXT_BYTES) -> DataFrame:

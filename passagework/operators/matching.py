@@ -14,14 +14,24 @@ from passagework.functions import text as X
 from passagework.operators import joins, postings
 from passagework.operators.clauses import CLAUSE_KEY, ClauseTable
 from passagework.operators.joins import bounded_join, bounded_rows
-from passagework.plans.corpus import Corpus, attach_texts
+from passagework.plans.corpus import Corpus, any_of, attach_texts
 from passagework.schemas import CHUNK_KEY
+from passagework.session import written
 
 GROUP = ["query_id", "group_no"]
 HIT = [*CLAUSE_KEY, "kind", "n_must", "scored"]
 # Up to this many clauses every text is tested against each; beyond it by shared grams.
 DIRECT_CLAUSES = 256
-GRAM = 3
+GRAM = X.GRAM
+# Rarest grams of a part whose postings are intersected; the text decides in the end.
+RAREST = 4
+CAPITAL_SIGMA = "\u03a3"
+# A part is looked up beside the rarest one of its group if it costs up to so many times as much, and so many rows.
+ANCHOR_TIMES, ANCHOR_ROWS = 8, 1000
+# Rows of a lookup that are kept as part of the plan.
+LOCAL_ROWS = 10_000
+# Up to this many prefixes are ranges of the dictionary scan.
+PREFIX_RANGES = 256
 
 
 # Words ---------------------------------------------------------------------------
@@ -89,21 +99,29 @@ def _scan_words(chunks: DataFrame, units: DataFrame, table: ClauseTable) -> Data
 def _lookup_words(corpus: Corpus, units: DataFrame, table: ClauseTable) -> DataFrame:
     terms = units.filter(~F.col("is_prefix")).withColumnRenamed("key", "term").drop("is_prefix")
     rows = table.rows
+    wanted = table.frame.select(F.explode("terms").alias("term"))
     if "prefix" in table.forms:
-        expanded = expand_prefixes(corpus.vocabulary, units.filter("is_prefix"), table.rows)
-        extra = bounded_rows(expanded)
+        expanded, extra = expand_prefixes(corpus.vocabulary, units.filter("is_prefix"), table.rows)
         rows = None if rows is None or extra is None else rows + extra
         terms = terms.unionByName(expanded)
+        wanted = terms
     found = bounded_join(
-        read_buckets(corpus.words, terms, corpus.buckets), terms, ["term"], rows, [F.col(c) for c in CHUNK_KEY]
+        read_buckets(corpus.words, wanted, corpus.buckets, rows), terms, ["term"], rows, [F.col(c) for c in CHUNK_KEY]
     )
-    return found.withColumn("starts", F.transform("positions", lambda p: p - F.col("offset")))
+    return corpus.alive(found).withColumn("starts", F.transform("positions", lambda p: p - F.col("offset")))
 
 
-def expand_prefixes(vocabulary: DataFrame, units: DataFrame, rows: int | None) -> DataFrame:
-    """Prefix units as one unit per dictionary word that starts with the prefix."""
+def expand_prefixes(vocabulary: DataFrame, units: DataFrame, rows: int | None) -> tuple[DataFrame, int | None]:
+    """Prefix units as one unit per dictionary word that starts with the prefix, and their number if it is small.
+
+    Few prefixes become ranges of the scan: a dictionary in order of its words is read
+    where they lie. It is read once; what it gave is written or, if small, kept.
+    """
+    if rows is not None and rows <= PREFIX_RANGES:
+        keys = sorted({r.key for r in units.select("key").collect()})
+        vocabulary = vocabulary.filter(any_of([F.col("term").startswith(k) for k in keys]))
     lengths = units.agg(F.collect_set(F.char_length("key"))).scalar()
-    beginnings = vocabulary.withColumn("lengths", lengths).select(
+    beginnings = vocabulary.select("term").distinct().withColumn("lengths", lengths).select(
         "term",
         F.explode(
             F.transform(
@@ -112,15 +130,27 @@ def expand_prefixes(vocabulary: DataFrame, units: DataFrame, rows: int | None) -
             )
         ).alias("key"),
     )
-    return bounded_join(beginnings, units, ["key"], rows, [F.col("term")]).drop("key", "is_prefix")
+    return _settled(bounded_join(beginnings, units, ["key"], rows, [F.col("term")]).drop("key", "is_prefix"))
+
 
+def _settled(frame: DataFrame) -> tuple[DataFrame, int | None]:
+    """The frame, evaluated once, and its number of rows if it is small: kept here up to that number, written beyond it."""
+    spark = frame.sparkSession
+    first = frame.limit(LOCAL_ROWS + 1).toArrow()
+    if first.num_rows <= LOCAL_ROWS:
+        return spark.createDataFrame(first, frame.schema), first.num_rows
+    kept = written(frame, "settled")
+    return kept, bounded_rows(kept)
 
-def read_buckets(stored: DataFrame, terms: DataFrame, buckets: int | None) -> DataFrame:
+
+def read_buckets(stored: DataFrame, terms: DataFrame, buckets: int | None, rows: int | None = None) -> DataFrame:
     """Stored postings of the buckets the terms fall in (at most `buckets` numbers)."""
     if buckets is None:
         return stored
-    needed = [r[0] for r in terms.select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()]
-    return stored.filter(F.col("bucket").isin(needed)).drop("bucket")
+    needed = terms.select(bucket_of(F.col("term"), buckets).alias("b"))
+    if rows is None or rows > joins.MAX_BROADCAST_ROWS:
+        needed = needed.distinct()
+    return stored.filter(F.col("bucket").isin(sorted({r.b for r in needed.collect()}))).drop("bucket")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -163,15 +193,16 @@ def gram_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
     )
     if corpus.grams is None:
         return _parts_in_chunks(corpus, parts, table.rows, X.fold_grams)
-    return _lookup_grams(corpus, parts.filter(long), table.rows).unionByName(
-        _parts_in_chunks(corpus, parts.filter(~long), table.rows, X.fold_grams)
-    )
+    return _lookup_parts(corpus, parts, table.rows, X.fold_grams, ranked=True)
 
 
 def substring_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
     """Clause hits of every token of the required clauses as a plain substring.
 
-    Case counts except for the letters A to Z; wildcards have no meaning.
+    Case counts except for the letters A to Z; wildcards have no meaning. On an index,
+    candidates come from its folded grams. Folding goes letter by letter but for one, the
+    capital sigma, whose small form depends on its place: a token that holds it is sought
+    in the texts themselves.
     """
     parts = (
         table.frame.filter(F.col("kind") == "must")
@@ -181,7 +212,12 @@ def substring_hits(corpus: Corpus, table: ClauseTable) -> DataFrame:
         .withColumn("clause_no", F.row_number().over(Window.partitionBy(*GROUP).orderBy("part")))
         .select(*CLAUSE_KEY, "kind", "part", _musts(F.lit(True)).alias("n_must"), F.lit(False).alias("scored"))
     )
-    return _parts_in_chunks(corpus, parts, table.rows, X.ascii_lower)
+    if corpus.grams is None:
+        return _parts_in_chunks(corpus, parts, table.rows, X.ascii_lower)
+    bent = table.frame.filter(F.contains("text", F.lit(CAPITAL_SIGMA)))
+    if not bent.isEmpty():
+        return _parts_in_chunks(corpus, parts, table.rows, X.ascii_lower)
+    return _lookup_parts(corpus, parts, table.rows, X.ascii_lower, ranked=False)
 
 
 def _parts_in_chunks(corpus: Corpus, parts: DataFrame, rows: int | None, fold: Callable[[Column], Column]) -> DataFrame:
@@ -207,20 +243,68 @@ def _parts_in_chunks(corpus: Corpus, parts: DataFrame, rows: int | None, fold: C
     return _measured(checked.filter(holds_part))
 
 
-def _lookup_grams(corpus: Corpus, parts: DataFrame, rows: int | None) -> DataFrame:
-    """Candidates by the rarest gram of a part, then a check of the text itself."""
-    grams = parts.select("*", F.explode(F.array_distinct(X.char_grams(F.col("part")))).alias("term"))
-    known = bounded_join(
-        corpus.gram_vocabulary.select("term", "df"), grams, ["term"], rows, [F.col("term")]
-    )
-    rarest = Window.partitionBy(*CLAUSE_KEY).orderBy("df", "term")
-    anchored = known.withColumn("place", F.row_number().over(rarest)).filter("place = 1").drop("place", "df")
-    candidates = bounded_join(
-        read_buckets(corpus.grams, anchored, corpus.buckets).select("term", *CHUNK_KEY),
-        anchored, ["term"], rows, [F.col(c) for c in CHUNK_KEY],
-    )
-    checked = attach_texts(candidates, corpus, None).withColumn("folded", X.fold_grams(F.col("content")))
-    return _measured(checked.filter(F.contains(F.col("folded"), F.col("part"))))
+def _lookup_parts(corpus: Corpus, parts: DataFrame, rows: int | None, fold: Callable[[Column], Column], ranked: bool) -> DataFrame:
+    """Clause hits by stored grams; a text is read only where its grams say that a hit may be.
+
+    A group is anchored by some of its required parts. Where hits are `ranked`, all
+    long ones are anchors and all their hits are found, as their number is part of the
+    score; otherwise the rarest parts are. The other clauses are tested where all anchors of
+    their group may stand.
+    """
+    must = (F.col("kind") == "must") & (F.col("scored") if ranked else F.lit(True))
+    musts = parts.filter(must).select(*CLAUSE_KEY, X.fold_grams(F.col("part")).alias("sought"))
+    long = F.char_length("sought") >= GRAM
+    grams = _rarest(corpus, musts.filter(long), rows)
+    if not ranked:
+        grams = grams.unionByName(_holders(corpus, musts.filter(~long), rows))
+    grams, small = _settled(_anchors(grams, every=ranked))
+    stored = read_buckets(corpus.grams, grams, corpus.buckets, small).select("term", *CHUNK_KEY, "batch")
+    postings = corpus.alive(bounded_join(stored, grams, ["term"], small, [F.col(c) for c in CHUNK_KEY]))
+    # All grams of a long part, any of a short one; then all anchors of the group.
+    clauses = postings.groupBy(*CLAUSE_KEY, "n_terms", "n_anchors", *CHUNK_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n >= n_terms")
+    clauses = written(clauses.select(*CLAUSE_KEY, "n_anchors", *CHUNK_KEY), "candidates")
+    both = clauses.groupBy(*GROUP, "n_anchors", *CHUNK_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n = n_anchors").select(*GROUP, *CHUNK_KEY)
+    wanted, spread_by = parts.select(*HIT, "part"), [F.col(c) for c in CHUNK_KEY]
+    if ranked:
+        own = bounded_join(clauses.drop("n_anchors"), wanted.filter(must), CLAUSE_KEY, rows, spread_by)
+        asked = own.unionByName(bounded_join(both, wanted.filter(~must), GROUP, rows, spread_by).select(own.columns))
+        chunks = clauses.select(*CHUNK_KEY).distinct()
+    else:
+        asked = bounded_join(both, wanted, GROUP, rows, spread_by)
+        chunks = both.select(*CHUNK_KEY).distinct()
+    texts = attach_texts(chunks, corpus, None).withColumn("folded", fold(F.col("content"))).drop("content")
+    return _measured(asked.join(texts, CHUNK_KEY).filter(F.contains("folded", "part")))
+
+
+def _anchors(grams: DataFrame, every: bool) -> DataFrame:
+    """The grams of the parts that are worth a lookup: in each group the rarest part and those not much more frequent, or every one."""
+    clause, group = Window.partitionBy(*CLAUSE_KEY), Window.partitionBy(*GROUP)
+    cost = F.when(F.col("all"), F.min("df").over(clause)).otherwise(F.sum("df").over(clause))
+    kept = grams
+    if not every:
+        priced = grams.withColumn("cost", cost).withColumn("least", F.min("cost").over(group))
+        kept = priced.filter(F.col("cost") <= ANCHOR_TIMES * F.col("least") + ANCHOR_ROWS)
+    n_terms = F.when(F.col("all"), F.count(F.lit(1)).over(clause)).otherwise(F.lit(1).cast("long"))
+    return kept.select(*CLAUSE_KEY, "term", n_terms.alias("n_terms"), F.size(F.collect_set("clause_no").over(group)).alias("n_anchors"))
+
+
+def _rarest(corpus: Corpus, parts: DataFrame, rows: int | None) -> DataFrame:
+    """The rarest grams of long parts, all of which a text must hold; one that is not in the dictionary is the rarest."""
+    grams = parts.select(*CLAUSE_KEY, F.explode(F.array_distinct(X.char_grams(F.col("sought")))).alias("term"))
+    terms = grams.select("term").distinct()
+    known = bounded_join(corpus.gram_vocabulary, terms, ["term"], rows, [F.col("term")]).groupBy("term").agg(F.sum("df").alias("df"))
+    ranked = grams.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    place = F.row_number().over(Window.partitionBy(*CLAUSE_KEY).orderBy("df", "term"))
+    return ranked.withColumn("place", place).filter(F.col("place") <= RAREST).select(*CLAUSE_KEY, "term", "df", F.lit(True).alias("all"))
+
+
+def _holders(corpus: Corpus, parts: DataFrame, rows: int | None) -> DataFrame:
+    """The grams that hold a short part, one of which is enough; a part that none holds has one row without a gram."""
+    wanted = parts.withColumnRenamed("sought", "part")
+    known = bounded_join(corpus.gram_parts, wanted.select("part").distinct(), ["part"], rows, [F.col("term")])
+    sums = known.groupBy("part", "term").agg(F.sum("df").alias("df"))
+    found = wanted.join(sums, "part", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    return found.select(*CLAUSE_KEY, "term", "df", F.lit(False).alias("all"))
 
 
 def _measured(found: DataFrame) -> DataFrame:

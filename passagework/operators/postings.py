@@ -72,11 +72,21 @@ def gram_presence(chunks: DataFrame) -> DataFrame:
     """term, file_id, chunk_no: which grams a chunk holds.
 
     All a gram lookup needs, as candidates are checked on their text; far smaller than
-    `gram_postings`.
+    `gram_postings`. A text too short for a gram is a gram itself, so every text can be
+    found by any part of it.
     """
-    return chunks.select(
-        *CHUNK_KEY, F.explode(F.array_distinct(grams_of(F.col("content")))).alias("term")
-    ).select("term", *CHUNK_KEY)
+    folded = X.fold_grams(F.col("content"))
+    grams = F.when(F.char_length(folded) < X.GRAM, F.array(folded)).otherwise(F.array_distinct(X.char_grams(folded)))
+    return chunks.select(*CHUNK_KEY, F.explode(grams).alias("term")).select("term", *CHUNK_KEY)
+
+
+def gram_parts(dictionary: DataFrame) -> DataFrame:
+    """part, term, df: the runs of one and two characters in every gram of a dictionary.
+
+    A shorter part than a gram is found through the grams that hold it.
+    """
+    parts = F.concat(*(X.char_grams(F.col("term"), n) for n in range(1, X.GRAM)))
+    return dictionary.select(F.explode(F.array_distinct(parts)).alias("part"), "term", "df")
 
 
 def _postings(chunks: DataFrame, tokens: Tokeniser) -> DataFrame:

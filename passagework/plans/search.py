@@ -54,15 +54,28 @@ def substring_matches(corpus: Corpus, table: ClauseTable) -> DataFrame:
 
 
 def routed_matches(corpus: Corpus, table: ClauseTable) -> DataFrame:
-    """Hits of all branches with their `branch`; scores are compared as they are."""
+    """Hits of all branches with their `branch`; scores are compared as they are.
+
+    A bounded table is looked at first: a branch that no query takes is not in the plan.
+    """
     routed = routes(table)
-    return (
-        word_matches(corpus, routed).withColumn("branch", F.lit("word"))
-        .unionByName(gram_matches(corpus, _where(routed, "use_grams")).withColumn("branch", F.lit("gram")))
-        .unionByName(
-            substring_matches(corpus, _where(routed, "use_substring")).withColumn("branch", F.lit("substring"))
-        )
-    )
+    use_grams, use_substring = _branches(table)
+    hits = word_matches(corpus, routed).withColumn("branch", F.lit("word"))
+    if use_grams:
+        hits = hits.unionByName(gram_matches(corpus, _where(routed, "use_grams")).withColumn("branch", F.lit("gram")))
+    if use_substring:
+        found = substring_matches(corpus, _where(routed, "use_substring"))
+        hits = hits.unionByName(found.withColumn("branch", F.lit("substring")))
+    return hits
+
+
+def _branches(table: ClauseTable) -> tuple[bool, bool]:
+    """Whether some query may take the gram and the substring branch."""
+    if table.rows is None:
+        return True, True
+    text = F.col("text")
+    found = table.frame.agg(F.max(X.contains_cjk(text)), F.max(X.needs_substring_scan(text))).first()
+    return bool(found[0]), bool(found[1])
 
 
 def best_branch(hits: DataFrame) -> DataFrame:

@@ -41,6 +41,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """The frame, computed once: written to a scratch folder and read again, so that its lineage ends there."""
+    path = scratch_folder(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give a scan with fewer splits than cores enough partitions for CPU-heavy text work.
 

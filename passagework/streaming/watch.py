@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagework.functions.text import valid_text
 from passagework.plans.incremental import change_set
-from passagework.plans.store import Store, stored_before, update, write_batch
+from passagework.plans.store import Store, commits, stored_before, stream_batch, update, write_batch
 from passagework.schemas import BINARY_FILE
 from passagework.sources.listing import describe, list_files, read_texts
 
@@ -53,47 +53,55 @@ def watch(
     stream: DataFrame, store: Store, checkpoint: str, interval: str | None = None, all_files: bool = False,
     described: bool = False,
 ) -> StreamingQuery:
-    """Write every micro-batch of a file stream into the store.
+    """Write every micro-batch of a file stream into the store, which may hold files already.
 
-    The stream keeps no state: a batch is written under its number, and a batch that
-    runs again after a failure replaces its own folders. A version that arrives after a
+    The stream keeps no state. A micro-batch becomes the next batch of the store, whose
+    commit names the checkpoint and the micro-batch: one that runs again after a failure
+    finds its number and replaces its earlier attempt. A version that arrives after a
     newer one of its path is left out. Without `interval` all files present are taken
     and the query ends. `described` streams carry full file rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = stream_batch(store, spark, checkpoint, number)
         rows = last_versions(batch)
         files = rows if described else describe(rows, datetime.now())
-        if number:
-            files = not_older(files, stored_before(store, batch.sparkSession, number))
-        write_batch(store, files, number, all_files=all_files)
+        if any(c.batch < own for c in commits(store, spark)):
+            files = not_older(files, stored_before(store, spark, own))
+        write_batch(store, files, own, all_files=all_files, stream=checkpoint, epoch=number)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
-def refresh(spark: SparkSession, root: str, store: Store, batch: int, all_files: bool = False) -> bool:
-    """Bring the store up to date with a folder as batch `batch`; False if nothing changed."""
-    changes = change_set(stored_before(store, spark, batch), list_files(spark, root))
-    begun = spark.read.parquet(store.table("files")).filter(F.col("batch") == batch)
-    if changes.filter(F.col("change") != "same").isEmpty() and begun.isEmpty():
+def refresh(
+    spark: SparkSession, root: str, store: Store, batch: int | None = None, all_files: bool = False, stream: str | None = None,
+    epoch: int | None = None,
+) -> bool:
+    """Bring the store up to date with a folder as batch `batch` or the next one; False if nothing changed."""
+    names = list_files(spark, root)
+    begun = batch is not None and any(c.batch == batch for c in commits(store, spark))
+    if not begun and change_set(stored_before(store, spark, batch), names).filter(F.col("change") != "same").isEmpty():
         return False
-    update(store, describe(read_texts(spark, root), datetime.now()), batch, all_files)
+    texts = describe(read_texts(spark, root), datetime.now())
+    update(store, texts, batch, all_files, names, stream, epoch)
     return True
 
 
 def watch_folder(
     spark: SparkSession, root: str, store: Store, checkpoint: str, interval: str = "5 seconds", all_files: bool = False
 ) -> StreamingQuery:
-    """Refresh the store from a folder at every interval. Batch 0 must have been written.
+    """Refresh the store from a folder at every interval. The store must hold a batch.
 
-    The ticks of a rate stream carry the batch numbers, so a pass that runs again
-    after a failure replaces its own batch.
+    The ticks of a rate stream name the passes, so a pass that runs again after a
+    failure replaces its own batch.
     """
 
     def look(_: DataFrame, number: int) -> None:
-        refresh(spark, root, store, number + 1, all_files)
+        own = stream_batch(store, spark, checkpoint, number)
+        refresh(spark, root, store, own, all_files, checkpoint, number)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
     return (

@@ -289,12 +289,16 @@ def match_prefix(spark, sf_dir):
     }))
 
 
+GRAM_QUERIES = {
+    "word": [[C.term("ation")]], "and": [[C.term("THE"), C.term("ou")]], "phrase": [[C.phrase("of the")]],
+    "kana": [[C.term("pア認ア")]],
+}
+SUBSTRING_QUERIES = {"short": "認認", "two": "dエ lア", "case": "ABLE the", "wild": "100%"}
+
+
 @register
 def match_trigram(spark, sf_dir):
-    table = C.clause_table(spark, {
-        "word": [[C.term("ation")]], "and": [[C.term("THE"), C.term("ou")]], "phrase": [[C.phrase("of the")]],
-        "kana": [[C.term("pア認ア")]],
-    })
+    table = C.clause_table(spark, GRAM_QUERIES)
     hits = matching.gram_hits(tables.kana_corpus(spark, sf_dir), table)
     found = matching.combine(hits, table.one_group).select("query_id", *CHUNK_KEY)
     tf = hits.filter("scored").groupBy("query_id", *CHUNK_KEY).agg(F.sum("tf").alias("tf"))
@@ -303,7 +307,7 @@ def match_trigram(spark, sf_dir):
 
 @register
 def match_like(spark, sf_dir):
-    table = C.all_of(spark, {"short": "認認", "two": "dエ lア", "case": "ABLE the", "wild": "100%"})
+    table = C.all_of(spark, SUBSTRING_QUERIES)
     return search.substring_matches(tables.kana_corpus(spark, sf_dir), table)
 
 
@@ -462,6 +466,30 @@ def stored_routed(spark, sf_dir):
     return hits.select("query_id", "branch", *CHUNK_KEY, "score")
 
 
+@register
+def stored_mixed(spark, sf_dir):
+    """Long and short parts, phrases and several words on the gram index."""
+    corpus = _stored(spark, sf_dir, tables.kana_text(), with_grams=True)
+    hits = {"gram": matching.combine(matching.gram_hits(corpus, C.clause_table(spark, GRAM_QUERIES))),
+            "substring": search.substring_matches(corpus, C.all_of(spark, SUBSTRING_QUERIES))}
+    parts = [rows.select(F.lit(branch).alias("branch"), "query_id", *CHUNK_KEY) for branch, rows in hits.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def stored_updated_search(spark, sf_dir):
+    """A search over two batches, the second of which replaces, deletes and adds files."""
+    stored, listed = _snapshots(spark, sf_dir)
+    place = stores.Store(scratch_folder(spark, "index"), with_grams=False)
+    stores.write_batch(place, stored, all_files=True)
+    stores.update(place, listed, all_files=True)
+    corpus = stores.open_corpus(place, spark)
+    table = C.from_texts(tables.benchmark_texts(spark, sf_dir), "any", bag_of_words=True)
+    hits = _ranked(search.word_matches(corpus, table))
+    top = search.with_files(search.top_files(hits, 10), corpus.files, search.result_rows(table, 10))
+    return top.select("query_id", "rank", "path", "chunk_no", "score")
+
+
 # Statistics and listings ----------------------------------------------------------------
 
 
@@ -628,12 +656,14 @@ def _stored_chunks(corpus):
 
 @register
 def store_recovery(spark, sf_dir):
-    """The same change after a run that broke before its file rows, and without modification times."""
+    """The same change after a run that broke before its commit, and without modification times."""
     stored, listed = _snapshots(spark, sf_dir)
     place = stores.Store(scratch_folder(spark, "index"), with_grams=False)
     stores.write_batch(place, stored, 0, all_files=True)
-    stores._write_texts(place, listed.withColumn("deleted", F.lit(False)), 1, all_files=True)  # no file rows follow
-    stores.update(place, listed.withColumn("modified", F.lit(None).cast("timestamp")), 2, all_files=True)
+    # What a broken run leaves: chunks of an attempt that no commit names.
+    broken = stores.Attempt.of(place, spark, 1)
+    broken.write(stores._cut(place, listed.withColumn("deleted", F.lit(False)), ["file_id", "path", "deleted"], False, True), "chunks", "segment")
+    stores.update(place, listed.withColumn("modified", F.lit(None).cast("timestamp")), 1, all_files=True)
     return _stored_chunks(stores.open_corpus(place, spark))
 
 
@@ -669,3 +699,18 @@ def stream_index(spark, sf_dir):
     query = streams.watch(tables.files(arriving), place, f"{folder}/progress", all_files=True, described=True)
     query.awaitTermination()
     return stores.open_corpus(place, spark).chunks.select(*CHUNK_KEY, F.md5("content").alias("digest"))
+
+
+@register
+def stream_onto_store(spark, sf_dir):
+    """All documents arrive as a stream at a store that holds half of them in an older version."""
+    half = tables.files(tables.texts(spark, sf_dir).filter("doc_id % 2 = 0")).withColumns(
+        {"modified": F.col("modified") - F.expr("interval 1 day"), "content": F.lit("older")}
+    )
+    folder = scratch_folder(spark, "onto")
+    place = stores.Store(f"{folder}/index", with_grams=False)
+    stores.write_batch(place, half, all_files=True)
+    schema = tables.read(spark, sf_dir, "documents").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    streams.watch(tables.files(arriving), place, f"{folder}/progress", all_files=True, described=True).awaitTermination()
+    return stores.open_corpus(place, spark).chunks.select(*CHUNK_KEY, F.md5("content").alias("digest"))

@@ -355,3 +355,11 @@ ORACLES["stream_late"] = ORACLES["chunk_lines"].replace("SELECT file_id, chunk_n
 ORACLES["stream_index"] = f"{CHUNKS} SELECT file_id, chunk_no, md5(content) AS digest FROM chunks"
 ORACLES["scan_files"] = " UNION ALL ".join(
     f"SELECT '{t}.parquet' AS filename, '.parquet' AS extension, count(*) AS n_rows FROM {t}" for t in ("benchmark", "documents", "pages"))
+ORACLES["stream_onto_store"] = ORACLES["stream_index"]
+ORACLES["stored_mixed"] = f"""
+SELECT 'gram' AS branch, query_id, file_id, chunk_no FROM ({ORACLES["match_trigram"]})
+UNION ALL SELECT 'substring', query_id, file_id, chunk_no FROM ({ORACLES["match_like"]})
+"""
+CHANGED = f"""WITH {files("CASE WHEN lang = 'de' THEN 'neu' || chr(10) || text ELSE text END")},
+ kept AS (SELECT * FROM files WHERE tag2 <> 'src5'), {cut("kept")}"""
+ORACLES["stored_updated_search"] = ORACLES["search_top"].replace(CHUNKS, CHANGED)

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import clauses as C, matching
+from passagework.operators import clauses as C, matching, postings
 from passagework.plans import incremental, search, store as stores
 from passagework.plans.corpus import scan_corpus
 from passagework.sources.listing import describe, list_files, read_texts, text_files, unread_files
@@ -57,7 +57,7 @@ def test_texts_of_results_are_read_from_their_segments(spark, place, plan):
     top = search.with_content(search.top_chunks(search.word_matches(corpus, table), 2), corpus, 2)
     assert sorted(r.content for r in top.collect()) == ["beta gamma alpha alpha", "gamma delta"]
     scan = next(line for line in plan(top).splitlines() if "FileScan parquet" in line and "content" in line)
-    assert "dynamicpruning" in scan.lower()
+    assert "segment#" in scan.split("PartitionFilters")[1] and "EqualTo(file_id" in scan
 
 
 def test_sizing(tmp_path):
@@ -133,35 +133,199 @@ def test_folder_listing(spark, tmp_path):
     assert "content" not in rows._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
-@pytest.mark.parametrize("broken", range(7))
-def test_a_broken_run_loses_nothing(spark, place, tmp_path, monkeypatch, broken):
-    stores.write_batch(place, listed(spark, FIRST), 0)
-    # Break the update after `broken` tables, then go on under another number.
-    original, written = stores.Store.part, []
+def state(store, spark):
+    corpus = stores.open_corpus(store, spark)
+    table, one = C.clause_table(spark, FORMS), C.clause_table(spark, {"g": [[C.phrase("lpha")]], "s": [[C.term("et")]]})
+    return (
+        sorted(r.path for r in corpus.files.collect()), sorted((r.file_id, r.chunk_no, r.content) for r in corpus.chunks.collect()),
+        found(search.word_matches(corpus, table)), found(search.gram_matches(corpus, one)), found(search.substring_matches(corpus, one)),
+        tuple(corpus.stats.first()), tuple(postings.corpus_stats(corpus.chunks).first()),
+    )
+
 
-    def part(self, name, batch):
-        if batch == 1 and name not in written:
-            if len(written) == broken:
+class Broken:
+    """Lets so many writes of an attempt pass, then breaks one after it wrote."""
+
+    def __init__(self, monkeypatch, passing):
+        self.left, original = passing, stores.Attempt.write
+
+        def write(attempt, frame, table, *partitions):
+            original(attempt, frame, table, *partitions)
+            if not self.left:
                 raise OSError("lost")
-            written.append(name)
-        return original(self, name, batch)
+            self.left -= 1
 
-    monkeypatch.setattr(stores.Store, "part", part)
-    with pytest.raises(OSError):
-        stores.update(place, listed(spark, SECOND), 1)
-    monkeypatch.undo()
-    assert sorted(r.path for r in stores.live_files(place, spark).collect()) == sorted(FIRST)
-    assert stores.open_corpus(place, spark).chunks.count() == 3
-    stores.update(place, listed(spark, SECOND), 2)
-    rebuilt = stores.rebuild(place, str(tmp_path / "rebuilt"), spark)
+        def commit(*_):
+            raise OSError("lost before the commit")
+
+        monkeypatch.setattr(stores.Attempt, "write", write)
+        monkeypatch.setattr(stores.Attempt, "commit", commit)
+
+
+TABLES = ["changes", "chunks", "words", "vocabulary", "grams", "gram_vocabulary", "gram_parts", "files", "places", "marks"]
+
+
+def stored(store, spark):
+    """What a reader sees of every table, without a search."""
+    corpus = stores.open_corpus(store, spark)
+    terms = lambda rows: sorted((r.term, r.file_id) for r in corpus.alive(rows.select("term", "file_id", "batch")).collect())
+    return (
+        sorted(r.path for r in corpus.files.collect()), sorted((r.file_id, r.content) for r in corpus.chunks.collect()),
+        tuple(corpus.stats.first()), terms(corpus.words), terms(corpus.grams),
+    )
+
+
+def test_a_broken_run_loses_nothing(spark, place, tmp_path, monkeypatch):
+    """An update breaks after some writes in its first run, and after every single one when its complete batch runs again."""
+    stores.write_batch(place, listed(spark, FIRST), 0)
+    before = stored(place, spark)
+
+    def breaks(passing, entries):
+        with monkeypatch.context() as patch, pytest.raises(OSError):
+            Broken(patch, passing)
+            stores.update(place, listed(spark, entries), 1)
+        assert stored(place, spark) == before
+
+    for passing in (0, 1, 7, len(TABLES)):
+        breaks(passing, SECOND)
+    stores.update(place, listed(spark, SECOND), 1)
+    before = stored(place, spark)
+    for passing in range(len(TABLES) + 1):
+        breaks(passing, {**SECOND, "e.md": (1, "eta")})
+    stores.update(place, listed(spark, SECOND), 1)
+    assert stores.complete_batches(place, spark) == [0, 1]
     fresh = stores.Store(str(tmp_path / "fresh"), buckets=4)
     stores.write_batch(fresh, listed(spark, SECOND))
-    table, one = C.clause_table(spark, FORMS), C.clause_table(spark, {"g": [[C.phrase("lpha")]]})
-    want = [found(search.word_matches(stores.open_corpus(fresh, spark), table)), found(search.gram_matches(stores.open_corpus(fresh, spark), one))]
-    for other in (place, rebuilt):
-        corpus = stores.open_corpus(other, spark)
-        assert [found(search.word_matches(corpus, table)), found(search.gram_matches(corpus, one))] == want
-    assert stores.complete_batches(rebuilt, spark) == [0] and stores.complete_batches(place, spark) == [0, 2]
+    rebuilt = stores.rebuild(place, str(tmp_path / "rebuilt"), spark)
+    want = state(fresh, spark)
+    assert state(place, spark) == want and state(rebuilt, spark) == want
+    with pytest.raises(ValueError):
+        stores.rebuild(place, str(tmp_path / "rebuilt"), spark)
+
+
+def test_batches_go_on_and_do_not_overwrite(spark, place):
+    assert [stores.write_batch(place, listed(spark, {k: v})) for k, v in FIRST.items()] == [0, 1, 2, 3]
+    assert sorted(r.path for r in stores.live_files(place, spark).collect()) == sorted(FIRST)
+    with pytest.raises(ValueError):
+        stores.write_batch(place, listed(spark, SECOND), 1)
+
+
+def test_statistics_are_sums_over_commits(spark, place, plan):
+    """No table is read for them, whatever was replaced, deleted and brought back."""
+    for entries in (FIRST, SECOND, {}, FIRST):
+        stores.update(place, listed(spark, entries or FIRST).filter("true" if entries else "false"))
+        corpus = stores.open_corpus(place, spark)
+        assert tuple(corpus.stats.first()) == tuple(postings.corpus_stats(corpus.chunks).first())
+        assert "FileScan" not in plan(corpus.stats)
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_a_word_search_reads_no_chunks(spark, place, plan, batches):
+    for entries in (FIRST, SECOND)[:batches]:
+        stores.update(place, listed(spark, entries))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(search.word_matches(stores.open_corpus(place, spark), C.all_of(spark, {"q": "alpha"})))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line]
+    assert scans and not any("content" in s or "/files/" in s or "/chunks/" in s for s in scans)
+
+
+def scanned_rows(frame, column):
+    """Rows that the scans holding a column gave when the frame was collected."""
+    frame.collect()
+    rows, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "FileSourceScan" in name and column in node.output().mkString(","):
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """4,000 files in several segments, with row groups of some hundred rows."""
+    store = stores.Store(str(tmp_path_factory.mktemp("large") / "index"), buckets=4, group_bytes=4096)
+    names = spark.range(4000).selectExpr(
+        "concat('f', id, '.md') as path", "100L as size_bytes", "timestamp '2024-01-01' as modified",
+        "concat('common text number ', id, if(id % 400 = 7, ' rare認認word 提案', ''), ' ', md5(string(id))) as content",
+    )
+    stores.write_batch(store, describe(names.repartition(8), STAMP))
+    return store
+
+
+def test_results_read_few_row_groups(spark, large):
+    corpus = stores.open_corpus(large, spark)
+    table = C.all_of(spark, {"q": "common"})
+    top = search.with_content(search.top_chunks(search.word_matches(corpus, table), 10), corpus, 10)
+    assert len(top.collect()) == 10
+    # Ten files lie in ten row groups at most; a group has some hundred rows here.
+    assert 10 <= scanned_rows(top, "content") <= 10 * 200
+
+
+@pytest.mark.parametrize("text, chunks", [("rare認認word", 10), ("認認", 10), ("提案", 10), ("認", 10), ("認認 提案 number", 10), ("認証", 0)])
+def test_parts_are_found_on_the_index(spark, large, monkeypatch, text, chunks):
+    """Grams and short parts: texts are read for candidates alone."""
+    read = []
+    original = matching.attach_texts
+    monkeypatch.setattr(matching, "attach_texts", lambda rows, *rest: read.append(original(rows, *rest)) or read[-1])
+    corpus = stores.open_corpus(large, spark)
+    hits = search.substring_matches(corpus, C.all_of(spark, {"q": text}))
+    assert hits.count() == chunks
+    assert [scanned_rows(r, "content") <= 10 * 200 for r in read] == [True]
+    assert [r.count() for r in read] == [chunks]
+
+
+def test_plain_words_read_no_grams(spark, large, plan):
+    corpus = stores.open_corpus(large, spark)
+    scans = [s for s in plan(search.routed_matches(corpus, C.all_of(spark, {"q": "common text"}))).splitlines() if "FileScan" in s]
+    assert scans and not any("/grams" in s or "content" in s or "gram_" in s for s in scans)
+
+
+def test_a_prefix_reads_its_range_of_the_dictionary_once(spark, large, monkeypatch):
+    corpus = stores.open_corpus(large, spark)
+    table = C.clause_table(spark, {"q": [[C.prefix("rar"), C.prefix("commo")]]})
+    assert search.word_matches(corpus, table).count() == 10
+    text = corpus.vocabulary.filter(F.col("term").startswith("rar"))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith" in text
+    found, rows = matching.expand_prefixes(corpus.vocabulary, matching._word_units(table).filter("is_prefix"), table.rows)
+    assert rows == 2 and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sigma_is_sought_in_the_texts(spark, place):
+    stores.write_batch(place, listed(spark, {"a.md": (1, "認ΑΣΑ 認"), "b.md": (1, "認ΑΣ")}))
+    corpus, table = stores.open_corpus(place, spark), C.all_of(spark, {"q": "認ΑΣ"})
+    assert search.substring_matches(corpus, table).count() == 2
+
+
+def test_short_texts_are_found_by_their_parts(spark, place):
+    entries = {"a.md": (1, "提"), "b.md": (1, "提案"), "c.md": (1, "案提案"), "d.md": (1, "案")}
+    stores.write_batch(place, listed(spark, entries))
+    corpus, scanned = stores.open_corpus(place, spark), scan_corpus(listed(spark, entries))
+    table = C.all_of(spark, {"one": "提", "two": "提案", "both": "提 案"})
+    assert found(search.substring_matches(corpus, table)) == found(search.substring_matches(scanned, table)) != []
+
+
+def test_unread_files_are_counted_and_due_again(spark, place):
+    names = listed(spark, FIRST).drop("content")
+    stores.update(place, listed(spark, FIRST).filter("path <> 'b.md'"), names=names)
+    assert [c.n_unread for c in stores.commits(place, spark)] == [1]
+    changes = stores.update(place, listed(spark, FIRST), names=names)
+    assert {r.path: r.change for r in changes.collect()} == {"a.md": "same", "b.md": "new", "c.md": "same", "x.png": "same"}
+    # Unread files keep what is stored of them.
+    stores.update(place, listed(spark, SECOND).filter("path = 'd.md'"), names=listed(spark, {**FIRST, "b.md": (2, "later"), "d.md": (1, "alpha")}))
+    assert sorted(r.path for r in stores.live_files(place, spark).collect()) == sorted([*FIRST, "d.md"])
+    assert [c.n_unread for c in stores.commits(place, spark)] == [1, 0, 1]
 
 
 def test_files_without_a_time_are_taken(spark, place):
