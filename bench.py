@@ -10,6 +10,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from passagework.operators import clauses as C, semantic  # noqa: E402
 from passagework.plans import search, store as stores  # noqa: E402
 from passagework.session import local_session, scratch_folder, spread  # noqa: E402
@@ -45,8 +47,8 @@ def main() -> None:
     spark = local_session(CPUS, int(CPUS) if CPUS.isdigit() else 8)
     times: dict[str, float] = {}
 
-    def build(label: str) -> stores.Store:
-        made = stores.Store(scratch_folder(spark, label), buckets=16, segments=16, with_grams=False)
+    def build(label: str, with_grams: bool = False) -> stores.Store:
+        made = stores.Store(scratch_folder(spark, label), buckets=16, segments=16, with_grams=with_grams)
         stores.write_batch(made, tables.files(tables.texts(spark, SF_DIR)), all_files=True)
         return made
 
@@ -66,6 +68,21 @@ def main() -> None:
 
         batch()
         times[f"search_{count}"] = timed(batch)
+    start = time.time()
+    full = build("full", with_grams=True)
+    times["index_build_grams"] = round(time.time() - start, 3)
+    kana = C.all_of(spark, {"a": "認証 the", "b": "tion", "c": "und 提案"})
+    routed = lambda: run(search.top_files(search.best_branch(search.routed_matches(stores.open_corpus(full, spark), kana)), 10))
+    routed()
+    times["stored_routed"] = timed(routed)
+    # A hundredth of the files changes, as a second batch of the store.
+    listed = tables.files(tables.texts(spark, SF_DIR)).withColumn(
+        "modified", F.when(F.col("file_id") % 100 == 0, F.col("modified") + F.expr("interval 1 day")).otherwise(F.col("modified"))
+    )
+    times["store_update"] = timed(lambda: stores.update(place, listed, all_files=True))
+    corpus = stores.open_corpus(place, spark)
+    batch()
+    times["search_1000_two_batches"] = timed(batch)
     vectors = spread(tables.vectors(spark, SF_DIR), "chunk_no")
     asked = vectors.select(vectors.chunk_no.cast("string").alias("query_id"), "embedding")
     near = lambda: run(semantic.nearest_files(asked, vectors, 10))
