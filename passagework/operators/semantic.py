@@ -73,8 +73,12 @@ def embed_chunks(
     return source.mapInPandas(run, schema)
 
 
+def with_vector(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("embedding").isNotNull())
+
+
 def embedded(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("embedding").isNotNull()).drop("error")
+    return with_vector(rows).drop("error")
 
 
 def hashing_embedder(dim: int = 64, seed: int = 7) -> Embedder:
@@ -158,9 +162,11 @@ def nearest_files(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> Dat
 
     `queries`: query_id, embedding. `embeddings`: file_id, chunk_no, embedding.
     Queries within MAX_QUERY_NUMBERS travel with the tasks and the vectors are read
-    once, without a shuffle; more queries are joined block by block.
+    once, without a shuffle; more queries are joined block by block. Rows without a
+    vector, as embedding leaves them after an error, are neither asked nor found.
     """
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    embeddings = with_vector(embeddings)
+    asked = with_vector(queries).select(F.col("query_id").cast("string").alias("query_id"), "embedding")
     dim = asked.limit(1).select(F.size("embedding")).first()
     if dim is None:
         few = []
@@ -238,7 +244,7 @@ def file_vectors(embeddings: DataFrame) -> DataFrame:
     no large group.
     """
     mean = Summarizer.mean(array_to_vector(F.col("embedding")))
-    return embeddings.groupBy("file_id").agg(vector_to_array(mean).alias("embedding"))
+    return with_vector(embeddings).groupBy("file_id").agg(vector_to_array(mean).alias("embedding"))
 
 
 def related_files(embeddings: DataFrame, k: int = 10) -> DataFrame:

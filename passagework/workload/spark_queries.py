@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from passagework.functions import files as P, text as X
 from passagework.functions.vectors import cosine, norm
 from passagework.operators import catalog, chunking, clauses as C, filters, matching, postings, ranking, semantic
+from passagework.operators.joins import bounded_rows
 from passagework.plans import incremental, output, search, store as stores
 from passagework.schemas import CHUNK_KEY
 from passagework.session import scratch_folder, spread
@@ -562,6 +563,18 @@ def semantic_top(spark, sf_dir):
     return _score(semantic.with_paths(found, files), "query_id", "rank", "file_id", "chunk_no", "path")
 
 
+@register
+def semantic_text(spark, sf_dir):
+    """Vector hits with the text of their chunk, read from a stored index after the cut to k."""
+    corpus = _stored(spark, sf_dir)
+    vectors = spread(tables.vectors(spark, sf_dir), "chunk_no")
+    stored = vectors.select(F.col("chunk_no").cast("long").alias("file_id"), F.lit(0).alias("chunk_no"), "embedding")
+    asked = _centroids(vectors)
+    found = semantic.nearest_files(asked, stored, 10)
+    texts = search.with_content(found, corpus, bounded_rows(found))
+    return _score(texts.withColumn("content", F.md5("content")), "query_id", "rank", "file_id", "chunk_no", "content")
+
+
 @register
 def semantic_batch(spark, sf_dir):
     """Every vector asks for the nearest vectors of other files, each vector being its own file."""

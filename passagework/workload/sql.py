@@ -314,7 +314,7 @@ ORACLES["semantic_top"] = f"""WITH {VEC}, {MEANS}, {files()},
  {top_files('pairs', 10)}
  SELECT query_id, rank, file_id, chunk_no, coalesce(path, '?') AS path, round(score, 6) AS score FROM top LEFT JOIN files USING (file_id)"""
 ORACLES["semantic_batch"] = f"""WITH {VEC},
- pairs AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, b.vec_id AS file_id, 0 AS chunk_no,
+ pairs AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, b.vec_id AS file_id, CAST(0 AS BIGINT) AS chunk_no,
   round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
  {top_files('pairs', 5)} SELECT query_id, rank, file_id, round(score, 6) AS score FROM top"""
 ORACLES["related_files"] = f"""WITH {VEC}, {MEANS},
@@ -327,7 +327,7 @@ def _lists(k: int) -> str:
     keyword = top_files("found", k).replace("top AS", "keyword AS", 1)
     near = top_files("pairs", k).replace("top AS", "near AS", 1)
     return f"""{BENCH_HITS}, {keyword}, {VEC},
- pairs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, b.vec_id AS file_id, 0 AS chunk_no,
+ pairs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, b.vec_id AS file_id, CAST(0 AS BIGINT) AS chunk_no,
   round(list_cosine_similarity(a.e, b.e), 9) AS score FROM benchmark JOIN v a ON item_id = a.vec_id, v b),
  {near}"""
 
@@ -363,3 +363,8 @@ UNION ALL SELECT 'substring', query_id, file_id, chunk_no FROM ({ORACLES["match_
 CHANGED = f"""WITH {files("CASE WHEN lang = 'de' THEN 'neu' || chr(10) || text ELSE text END")},
  kept AS (SELECT * FROM files WHERE tag2 <> 'src5'), {cut("kept")}"""
 ORACLES["stored_updated_search"] = ORACLES["search_top"].replace(CHUNKS, CHANGED)
+ORACLES["semantic_text"] = f"""WITH {VEC}, {MEANS}, {files()}, {cut()},
+ pairs AS (SELECT CAST(means.label AS VARCHAR) AS query_id, vec_id AS file_id, CAST(0 AS BIGINT) AS chunk_no,
+  round(list_cosine_similarity(m, e), 9) AS score FROM means, v),
+ {top_files('pairs', 10)}
+ SELECT query_id, rank, file_id, chunk_no, md5(content) AS content, round(score, 6) AS score FROM top JOIN chunks USING (file_id, chunk_no)"""

@@ -105,3 +105,11 @@ def test_comparison_and_unknown_paths(spark):
     assert {r.file_id: r.method for r in semantic.compare_methods(keyword, near).collect()} == {1: "keyword", 2: "both", 3: "semantic"}
     files = spark.createDataFrame([(2, "b.md")], "file_id long, path string")
     assert {r.file_id: r.path for r in semantic.with_paths(near, files).collect()} == {2: "b.md", 3: "?"}
+
+
+def test_rows_without_a_vector_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, None), (3, 0, [0.0, 1.0])], "file_id long, chunk_no int, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.1]), ("none", None)], "query_id string, embedding array<double>")
+    assert [(r.query_id, r.file_id) for r in semantic.nearest_files(asked, rows, 1).collect()] == [("q", 1)]
+    assert {r.query_id for r in semantic.related_files(rows, 5).collect()} == {"1", "3"}
+    assert semantic.file_vectors(rows).count() == 2
