@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -129,26 +130,26 @@ def signatures() -> list[Signature]:
     return out
 
 
-def gate(rules: list[Signature]) -> str:
-    """A pattern that every rule's keyword and every base phrase meets; texts without any are not looked into.
+def gate(text: Column, rules: list[Signature]) -> Column:
+    """Whether a spaced text may hold a rule's keyword or a base phrase; other texts are not looked into.
 
-    Blanks at the ends of a keyword stand for the ends of a word.
+    All letters are made small here, not A to Z alone, so the gate lets too much through but never too little.
     """
     words = {r.keyword for r in rules} | set(BASE_PHRASES)
     least = sorted(w for w in words if not any(x != w and x in w for x in words))
-    edge = lambda w: ("(?<![^ ])" * w.startswith(" "), "(?![^ ])" * w.endswith(" "))
-    return "(?i)" + "|".join(f"{edge(w)[0]}{w.strip()}{edge(w)[1]}" for w in least)
+    return let(F.lower(F.concat(F.lit(" "), text, F.lit(" "))), lambda t: reduce(or_, [t.contains(w) for w in least]))
 
 
 LEVELS = 4
+# Detections that are compared with each other; what lies before a block is known by one number for each priority.
+BLOCK = 64
+# Never in a spaced text, where they stand around a match.
+BEGIN, END = "\x01", "\x02"
 
 
 def _table(rules: list[Signature]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"),
-                 F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"))
-        for r in rules
-    ])
+    # One constant: a tree of thousands of literals takes the analyzer seconds.
+    return F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double>>")
 
 
 def _blanks(text: Column) -> Column:
@@ -156,39 +157,55 @@ def _blanks(text: Column) -> Column:
 
 
 def _found(norm: Column, rule: Column) -> Column:
-    """The matches of a rule as detections; the text between them says at which word each begins."""
-    pairs = F.arrays_zip(F.split(norm, rule["pattern"]).alias("gap"), F.regexp_extract_all(norm, rule["pattern"], F.lit(0)).alias("match"))
-    detection = "struct<start:int,end:int,priority:int,label:string,score:double>"
+    """The matches of a rule as detections: marks are put around them, and the marked words tell where they stand."""
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["blanks"] + _blanks(x["gap"]) - 1
-        words = _blanks(x["match"])
-        made = F.struct(start.alias("start"), (start + words + 1).alias("end"), rule["priority"].alias("priority"),
-                        rule["label"].alias("label"), rule["score"].alias("score"))
-        return F.struct((a["blanks"] + _blanks(x["gap"]) + words).alias("blanks"), F.array_append(a["out"], made).alias("out"))
+    def of(words: Column) -> Column:
+        starts = F.array_compact(F.transform(words, lambda w, i: F.when(w.startswith(BEGIN), i)))
+        ends = F.array_compact(F.transform(words, lambda w, i: F.when(w.endswith(END), i + 1)))
+        return F.zip_with(starts, ends, lambda start, end: F.struct(
+            start.alias("start"), (-end).alias("order"), rule["priority"].alias("priority"),
+            rule["label"].alias("label"), rule["score"].alias("score"),
+        ))
 
-    begin = F.struct(F.lit(0).alias("blanks"), F.array().cast(f"array<{detection}>").alias("out"))
-    return F.aggregate(F.filter(pairs, lambda x: x["match"].isNotNull()), begin, step, lambda a: a["out"])
+    marked = F.regexp_replace(norm, rule["pattern"], F.lit(f"{BEGIN}$0{END}"))
+    return let(marked, lambda m: F.when(m.contains(BEGIN), let(F.split(F.btrim(m), " "), of)))
 
 
 def _resolved(detections: Column) -> Column:
     """Detections that no other one contains whose priority is as good or better.
 
-    In order of begin, and the longest first, only what came before can contain a detection; one number for each
-    priority, the furthest end so far, is enough to tell.
+    In order of begin, and the longest first (`order` is the end, negated), only what came before can contain a
+    detection. One number for each priority, the furthest end so far, tells for all blocks before; the own block is
+    looked through. So the time follows the number of detections.
     """
-    detection = "struct<start:int,order:int,priority:int,label:string,score:double>"
-    ordered = F.sort_array(F.transform(detections, lambda d: F.struct(
-        d["start"], (-d["end"]).alias("order"), d["priority"], d["label"], d["score"])))
-    begin = F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), F.array().cast(f"array<{detection}>").alias("kept"))
+    levels = range(1, LEVELS + 1)
+
+    def furthest(block: Column) -> Column:
+        ends = [F.array_max(F.transform(F.filter(block, lambda d: d["priority"] <= k), lambda d: -d["order"])) for k in levels]
+        return F.array(*[F.coalesce(e, F.lit(-1)) for e in ends])
+
+    def before(blocks: Column) -> Column:
+        begin = F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(
+            F.transform(blocks, furthest), begin,
+            lambda a, ends: F.struct(F.zip_with(a["ends"], ends, lambda x, y: F.greatest(x, y)).alias("ends"), F.array_append(a["out"], a["ends"]).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def inside(d: Column, i: Column, block: Column, ends: Column) -> Column:
+        here = F.exists(F.slice(block, 1, i), lambda e: (e["priority"] <= d["priority"]) & (e["order"] <= d["order"]))
+        return (F.get(ends, d["priority"] - 1) >= -d["order"]) | here
+
+    def kept(blocks: Column) -> Column:
+        return let(before(blocks), lambda known: F.flatten(F.transform(
+            blocks, lambda block, n: F.filter(block, lambda d, i: ~inside(d, i, block, F.get(known, n))))))
 
-    def step(a: Column, d: Column) -> Column:
-        inside = F.array_max(F.slice(a["ends"], 1, d["priority"])) >= -d["order"]
-        ends = F.transform(a["ends"], lambda e, i: F.when(i + 1 == d["priority"], F.greatest(e, -d["order"])).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(inside, a["kept"]).otherwise(F.array_append(a["kept"], d)).alias("kept"))
+    def cut(ordered: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.slice(ordered, n * BLOCK + 1, BLOCK))
 
-    kept = F.aggregate(ordered, begin, step, lambda a: a["kept"])
-    return F.transform(kept, lambda d: F.struct(d["start"], (-d["order"]).alias("end"), d["label"], d["priority"], d["score"]))
+    found = let(let(F.sort_array(detections), cut), kept)
+    return F.transform(found, lambda d: F.struct(d["start"], (-d["order"]).alias("end"), d["label"], d["priority"], d["score"]))
 
 
 def _places(norm: Column) -> Column:
@@ -210,20 +227,20 @@ def scanned(docs: DataFrame, text: str = "text", rules: list[Signature] | None =
 
     Words are runs of digits, letters a-z (A-Z made small) and characters beyond ASCII. `places` are word numbers of
     the base phrases; a detection has begin and end in words, label, priority and score. Everything happens inside
-    the row: nothing is shuffled or collected, a text with many notices costs its own task only. Null and empty
-    texts have no words and no detections, repeated rows have the same ones, columns of `docs` may have any name.
+    the row: nothing is shuffled or collected, and a very long text, also one of very many notices, takes time in
+    proportion to its length. Null and empty texts have no words and no detections, repeated rows have the same ones, columns of `docs` may have any name.
     """
     rules = signatures() if rules is None else rules
     rows = docs.select(F.struct("*").alias("_row"), text_or_empty(text).alias("_text"))
     rows = rows.select("_row", F.btrim(F.regexp_replace("_text", SEPARATORS, " "), F.lit(" ")).alias("_spaced"))
     # Only texts behind the gate are made small and looked into.
-    rows = rows.withColumn("_norm", F.when(F.col("_spaced").rlike(gate(rules)), F.concat(F.lit(" "), F.translate("_spaced", UPPER, LOWER), F.lit(" "))))
+    rows = rows.withColumn("_norm", F.when(gate(F.col("_spaced"), rules), F.concat(F.lit(" "), F.translate("_spaced", UPPER, LOWER), F.lit(" "))))
     norm = F.col("_norm")
     phrases = F.array_compact(F.array(*[F.when(norm.contains(f" {p} "), F.lit(label)) for p, label in BASE_PHRASES.items()]))
     rows = rows.withColumn("_labels", phrases)
     table = _table(rules)
     active = F.filter(table, lambda r: norm.contains(r["keyword"]))
-    detections = F.when(norm.isNotNull(), _resolved(F.flatten(F.transform(active, lambda r: _found(norm, r)))))
+    detections = F.when(norm.isNotNull(), _resolved(F.flatten(F.array_compact(F.transform(active, lambda r: _found(norm, r))))))
     found = F.struct(
         F.when(F.length("_spaced") == 0, F.lit(0)).otherwise(_blanks(F.col("_spaced")) + 1).cast("long").alias("n_words"),
         F.when(F.size("_labels") > 0, _places(norm)).alias("places"),

@@ -205,6 +205,42 @@ def test_license_rules(spark, docs_of, odd_rows):
     assert licenses.license_labels(docs_of([])).count() == 0
 
 
+def license_detections(text):
+    """Every match of every rule, without those that a match of a priority as good or better contains."""
+    norm = " " + " ".join(WORD.findall(small(text))) + " "
+    found = []
+    for rule in licenses.signatures():
+        if rule.keyword in norm:
+            for m in re.finditer(rule.pattern, norm):
+                start = norm.count(" ", 0, m.start()) - 1
+                found.append((start, start + m[0].count(" ") + 1, rule.priority, rule.label, rule.score))
+    found.sort(key=lambda d: (d[0], -d[1], *d[2:]))
+    return [d for i, d in enumerate(found) if not any(e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] for e in found[:i])]
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_license_labels_score_and_suppression(spark, docs_of, odd_rows, monkeypatch, block):
+    monkeypatch.setattr(licenses, "BLOCK", block)
+    notices = ["GNU GPL v3 or later", "the GNU Lesser General Public License version 2.1", "Apache License 2.0", "apache", "under the MIT license",
+               "All rights reserved. Copyright (c) 2019", "SPDX-License-Identifier: MPL-2.0", "CC BY-SA 4.0", "CC BY", "two clause BSD license",
+               "This program is free software; you can redistribute it and/or modify it", "licensed under", "GPL 2", "\x01mit license\x02", "x"]
+    picks = np.random.default_rng(5)
+    rows = odd_rows + [(100 + n, " ".join(picks.choice(notices, n)), "a") for n in range(0, 160, 8)]
+    out = licenses.license_labels(docs_of(rows)).select("_row.doc_id", "_row.text", "base_labels", "labels", "score", "detections").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = license_detections(r.text)
+        assert sorted((d.start, d.end, d.priority, d.label, d.score) for d in r.detections) == sorted((a, b, p, x, s) for a, b, p, x, s in want)
+        assert set(filter(None, r.labels.split(","))) == {d[3] for d in want} | set(filter(None, r.base_labels.split(",")))
+        assert r.score == max([d[4] for d in want] + [0.75 if r.base_labels else 0.0])
+
+
+def test_very_many_notices_in_one_text(docs_of):
+    n = 60_000
+    row = licenses.license_labels(docs_of([(1, "MIT license x " * n, "a")])).selectExpr("n_base", "last_word", "labels", "size(detections) n").first()
+    assert tuple(row) == (n, 3 * n - 3, "mit", n)
+
+
 def samples(pattern):
     """Texts that a pattern matches: with and without optional parts, and one for each way of a choice."""
 
