@@ -44,36 +44,78 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def pivot(chances: list[float], sizes: list[int], draws: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """Round chances in order: (0 or 1 for each, the place left over or -1, its chance).
+    """Round chances: (0 or 1 for each, the place left over or -1, its chance).
 
     Two fractional chances meet: one gains what the other loses in words, by a random direction that keeps either
-    expectation, until one of them is 0 or 1. The sum of chance times size never changes.
+    expectation, until one of them is 0 or 1. Partners come from one band of sizes, a factor of two wide, the long
+    ones first. The chance a band leaves open meets all shorter documents at once, which share what it gains or
+    loses, so that a long document does not stay open to the end. The sum of chance times size never changes.
     """
-    out = np.zeros(len(chances), dtype=np.int8)
-    left, p = -1, 0.0
-    for i, q in enumerate(chances):
-        if q <= 0.0 or q >= 1.0:
-            out[i] = q >= 1.0
+    p, words = np.array(chances, dtype=np.float64), np.array(sizes, dtype=np.int64)
+    order = np.argsort(-words, kind="stable")
+    bands = np.frexp(words[order].astype(np.float64))[1]
+    borders = [0, *(np.flatnonzero(np.diff(bands)) + 1).tolist(), len(order)]
+    left = -1
+    for begin, end in zip(borders, borders[1:]):
+        band = order[begin:end]
+        left = _paired(band[(p[band] > 0) & (p[band] < 1)].tolist(), p, words, draws)
+        if left < 0:
             continue
+        random = np.random.default_rng(int(draws[left] * (1 << 53)))
+        while 0 < p[left] < 1:
+            shorter = order[end:]
+            shorter = shorter[(p[shorter] > 0) & (p[shorter] < 1)]
+            if not len(shorter):
+                break
+            # Each shorter one moves in proportion to its room to the nearer end, the same for either direction.
+            room = np.minimum(p[shorter], 1 - p[shorter])
+            size, most = float(words[left]), float(room @ words[shorter])
+            up, down = min((1 - p[left]) * size, most), min(p[left] * size, most)
+            gain = up if random.random() * (up + down) < down else -down
+            p[left] += gain / size
+            p[shorter] -= room * (gain / most)
+            _snap(p, np.append(shorter, left))
+        if 0 < p[left] < 1:  # all shorter ones are settled
+            break
+        left = -1
+    out = np.rint(p).astype(np.int8)
+    if left < 0:
+        return out, -1, 0.0
+    out[left] = 0
+    return out, int(left), float(p[left])
+
+
+def _snap(p: np.ndarray, places: np.ndarray) -> None:
+    near = np.rint(p[places])
+    p[places] = np.where(np.abs(p[places] - near) < 1e-12, near, p[places])
+
+
+def _paired(places: list[int], p: np.ndarray, words: np.ndarray, draws: np.ndarray) -> int:
+    """Let the chances at `places` meet in order, each with the one still open; the last open place or -1."""
+    left, held = -1, 0.0
+    for i in places:
+        q = float(p[i])
         if left < 0:
-            left, p = i, q
+            left, held = i, q
             continue
-        a, b = sizes[left], sizes[i]
-        up = min((1 - p) * a, q * b)  # words the held document may gain
-        down = min(p * a, (1 - q) * b)
+        a, b = float(words[left]), float(words[i])
+        up = min((1 - held) * a, q * b)  # words the held document may gain
+        down = min(held * a, (1 - q) * b)
         if draws[i] * (up + down) < down:
-            p, q, by_held = p + up / a, q - up / b, (1 - p) * a <= q * b
+            held, q, by_held = held + up / a, q - up / b, (1 - held) * a <= q * b
         else:
-            p, q, by_held = p - down / a, q + down / b, p * a <= (1 - q) * b
+            held, q, by_held = held - down / a, q + down / b, held * a <= (1 - q) * b
         if by_held:  # the held one became integral
-            out[left] = round(p)
-            left, p = i, q
+            p[left] = round(held)
+            left, held = i, q
         else:
-            out[i] = round(q)
-        if not 1e-12 < p < 1 - 1e-12:
-            out[left] = round(p)
+            p[i] = round(q)
+        if not 1e-12 < held < 1 - 1e-12:
+            p[left] = round(held)
             left = -1
-    return out, left, p
+    if left >= 0:
+        p[left] = held
+    return left
 
 
 def _draws(seed: int, marks: np.ndarray) -> np.ndarray:
@@ -83,8 +125,8 @@ def _draws(seed: int, marks: np.ndarray) -> np.ndarray:
 
 def _rounder(seed: int, level: int):
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "mark"], ascending=[False, True])  # the open chance ends on a short one
-        draws = _draws(seed + level, pdf["mark"].to_numpy().view(np.uint64))
+        pdf = pdf.sort_values(["size", "draw"], ascending=[False, True])
+        draws = _draws(seed + level, pdf["draw"].to_numpy().view(np.uint64))
         out, left, p = pivot(pdf["chance"].tolist(), pdf["size"].tolist(), draws)
         pdf = pdf.assign(extra=out, chance=0.0, open=False)
         if left >= 0:
@@ -104,31 +146,42 @@ def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "s
     Every document of a source has the same number of expected copies, target by source size (at most 3). Its whole
     part is taken outright, the rest is a chance that pivotal rounding settles: documents of a source meet in groups
     of about `ROWS_PER_GROUP` by the hash of their key and text, each group leaves at most one open chance, and the
-    open ones meet in a tree of `FAN_IN` until one is left for each source, which a draw settles. So the words taken
-    from a source miss its target by less than its largest document. Draws hang on rows and seed: reruns agree.
+    open ones meet in a tree of `FAN_IN` until one is left for each source, which a draw settles. That one is short,
+    unless the source holds next to nothing shorter than it: the words taken from a source miss its target by less
+    than one document. Draws hang on rows and seed: reruns agree.
 
-    A null source is a source of its own, a text that is null or has no words has size 0 and no copies, repeated rows
-    are rounded one by one. No rows give no rows. Every level is written before the next reads it.
+    A null source is a source of its own, a text that is null or has no words has size 0 and no copies. Repeated rows
+    are counted first and then dealt by their number, so they spread over groups and are rounded one by one. Of a very
+    long text only the word count moves on. No rows give no rows. Every level is written before the next reads it.
     """
     counts = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), _mark(key, text).alias("mark"),
         blank_word_count(text_or_empty(text)).alias("size"),
     )
-    counts = written(counts, "mix-sizes")
-    per_source = counts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    groups = -(-(per_source.agg(F.max("_rows")).first()[0] or 1) // ROWS_PER_GROUP)
-    targets = source_targets(per_source.select("source", "source_size")).withColumnRenamed("source", "_source")
-
-    rows = counts.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # Equal rows travel as one row with a count and are unfolded in blocks, each in a task of its own.
+    stacks = written(counts.groupBy("doc_id", "source", "mark", "size").agg(F.count(F.lit(1)).alias("_rows")), "mix-sizes")
+    per_source = stacks.groupBy("source").agg(F.sum(F.col("size") * F.col("_rows")).alias("source_size"), F.sum("_rows").alias("_rows"))
+    per_source = per_source.withColumn("_groups", F.ceil(F.col("_rows") / ROWS_PER_GROUP)).drop("_rows")
+    groups = per_source.agg(F.max("_groups")).first()[0] or 1
+    targets = source_targets(per_source.select("source", "source_size")).drop("source_size").withColumnRenamed("source", "_source")
+    targets = targets.join(per_source, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+
+    last = F.floor((F.col("_rows") - 1) / ROWS_PER_GROUP)
+    blocks = stacks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("doc_id", "mark", "_block")
+    first_row = F.col("_block") * ROWS_PER_GROUP
+    numbers = F.sequence(first_row, F.least(first_row + ROWS_PER_GROUP, F.col("_rows")) - 1)
+    rows = blocks.withColumn("_number", F.explode(numbers)).withColumn("draw", F.xxhash64("mark", "_number")).drop("_rows", "_block", "_number")
+
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     expected = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("chance", expected).withColumn("whole", F.floor("chance").cast("int"))
     rows = rows.withColumns({
         "chance": F.col("chance") - F.col("whole"),
-        "group": F.pmod(F.col("mark"), F.lit(groups)).cast("int"),
-        "home": F.pmod(F.col("mark"), F.lit(groups)).cast("int"),
+        "group": F.pmod(F.col("draw"), F.col("_groups")).cast("int"),
+        "home": F.pmod(F.col("draw"), F.col("_groups")).cast("int"),
         "extra": F.lit(0),
         "open": F.lit(False),
-    })
+    }).drop("_groups")
 
     def met(waiting: DataFrame, level: int) -> DataFrame:
         return written(waiting.groupBy("source", "group").applyInPandas(_rounder(seed, level), waiting.schema), f"mix-{level}")
@@ -140,7 +193,7 @@ def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "s
         nodes = met(waiting.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("int")), level)
         settled.append(nodes.filter(~F.col("open")))
         waiting = nodes.filter("open")
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("mark")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     settled.append(waiting.withColumn("extra", (drawn < F.col("chance")).cast("int")))
     # A group of the first level has one open row at most, so its source and number name that row.
     late = reduce(DataFrame.unionByName, settled).select(
@@ -154,10 +207,11 @@ def mixture(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "s
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns they came with."""
     # Equal rows are numbered on either side, so that each meets its own number of copies.
-    number = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.lit(1)))
-    taken = mixture(docs, seed).select(F.col("doc_id").alias("id"), "mark", "copies").filter("copies > 0")
-    taken = taken.select(F.struct("id", "mark", number.alias("n")).alias("taken"), "copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark("doc_id", "text").alias("mark"))
-    rows = rows.select("row", F.struct("id", "mark", number.alias("n")).alias("this"))
+    same = ["id", "mark", "source"]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    taken = mixture(docs, seed).select(F.col("doc_id").alias("id"), "mark", "source", "copies").filter("copies > 0")
+    taken = taken.select(F.struct(*same, number.alias("n")).alias("taken"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark("doc_id", "text").alias("mark"), "source")
+    rows = rows.select("row", F.struct(*same, number.alias("n")).alias("this"))
     found = rows.join(taken, F.col("this").eqNullSafe(F.col("taken")))
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

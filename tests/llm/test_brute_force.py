@@ -513,6 +513,19 @@ def test_written_shards(spark, docs_of, odd_rows, tmp_path):
     assert all(r.shard == jump(r.doc_id or 0, 16) for r in back.collect())
 
 
+def accumulator_of_lists():
+    from pyspark.accumulators import AccumulatorParam
+
+    class Lists(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, a, b):
+            return a + b
+
+    return Lists()
+
+
 # Mix --------------------------------------------------------------------------------
 
 
@@ -551,6 +564,41 @@ def test_mix(spark, docs_of, odd_rows, documents, monkeypatch, group):
     assert mixing.mixture(docs_of([])).collect() == []
 
 
+def test_long_documents_do_not_move_the_mix(docs_of):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(n), f"s{i % 4}") for i, n in enumerate(rng.lognormal(4, 1.5, 2400))]
+    rows += [(9000 + i, "w " * 12_000, f"s{i}") for i in range(4)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mixture(docs_of(rows)).collect():
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    for source, want in target.items():
+        assert abs(taken[source] - want) <= 0.001 * want
+
+
+def test_repeated_rows_spread_over_groups(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_GROUP", 100)
+    groups, rounder = spark.sparkContext.accumulator(0), mixing._rounder
+    most = spark.sparkContext.accumulator([], accumulator_of_lists())
+
+    def counted(seed, level):
+        rounded = rounder(seed, level)
+
+        def of(pdf):
+            groups.add(1)
+            most.add([len(pdf)])
+            return rounded(pdf)
+
+        return of
+
+    monkeypatch.setattr(mixing, "_rounder", counted)
+    out = mixing.mixture(docs_of([(1, "same words here", "a")] * 3000 + [(2, "some other words", "b")] * 50)).collect()
+    assert len(out) == 3050 and groups.value >= 31 and max(most.value) < 200
+    for source in "ab":
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.copies for r in mine) * 3 - mine[0].target) <= 3
+
+
 def test_mixed_documents_repeat(spark, docs_of, odd_rows):
     out = mixing.mixed_documents(docs_of(odd_rows))
     copies = sum(r.copies for r in mixing.mixture(docs_of(odd_rows)).collect())
