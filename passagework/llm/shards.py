@@ -60,6 +60,27 @@ def with_slots(rows: DataFrame, group: str, order: list[Column], slot: str = "sl
     )
 
 
+#: Columns that `placed` and `sharded` give beside the key.
+PLACE = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def placed(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of `docs` with all its columns, and size, text_crc32, law, shard, slot and grown_shard.
+
+    The key and the shard count alone decide. `size` is the UTF-8 bytes of the text plus 1, a null text has none;
+    its checksum is that of no bytes. A null key counts as 0; repeated rows share a shard and have slots of their own,
+    so shard and slot name a row. A column of `docs` that is named like one of the six gives way to it. A very long text
+    is moved whole, once, with its row.
+    """
+    body, kept = F.coalesce(F.col(text), F.lit("")), [c for c in docs.columns if c not in PLACE]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(key).cast("long").alias("_key"),
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+    )
+    rows = rows.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("_key"), shards), "grown_shard": shard_of(F.col("_key"), shards + 1)})
+    return with_slots(rows, "shard", [F.col("_key"), F.col("size"), F.col("text_crc32")]).select("_row.*", *PLACE)
+
+
 def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs`.
 
@@ -74,7 +95,7 @@ def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str =
     )
     rows = rows.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
     rows = with_slots(rows, "shard", [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
-    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return rows.select("doc_id", *PLACE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import acos, ceil, log, log2, pi, sqrt
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.llm.base import mixed, text_parts, written
 from passagework.llm.components import components
@@ -17,8 +17,10 @@ from passagework.llm.components import components
 SEED = 42
 #: Rows whose pairs a task compares at once.
 BLOCK_ROWS = 8_192
-#: Rows and bytes of text whose shingle sets a task compares at once.
-PAIR_ROWS, PAIR_BYTES = 2_048, 16 << 20
+#: Bits in which linked fingerprints may differ.
+RADIUS = 3
+#: Large buckets whose names may be broadcast, with 16 bytes each.
+MAX_LARGE = 200_000
 #: Fingerprints that share a bucket on average; more of them ask for longer keys.
 BUCKET_ROWS = 64
 
@@ -63,25 +65,18 @@ def majorities(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray
     return out
 
 
-def _fingerprinter(size: int, words: int, distinct: bool):
+def _fingerprinter(size: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, borders in text_parts(batch.column("_text")):
                 raw, digests, counts = data.tobytes(), [], []
                 for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
                     parts = shingles(raw[s:e], size)
-                    if distinct:
-                        parts = set(parts)
                     counts.append(len(parts))
                     digests.extend([xxhash.xxh64_digest(p, SEED) for p in parts])
                 hashes = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
                 prints = majorities(hashes, np.array(counts), words)
-                if distinct:  # the set names itself: equal sets have one node, whatever their fingerprints
-                    sums = np.append(np.uint64(0), np.cumsum(mixed(hashes + _GOLDENS[1]), dtype=np.uint64))
-                    ends = np.cumsum(counts)
-                    node = mixed(sums[ends] - sums[ends - np.array(counts)])
-                else:
-                    node = prints[:, 0] if words == 1 else mixed(np.bitwise_xor.reduce(mixed(prints + _GOLDENS[:words]), axis=1))
+                node = prints[:, 0] if words == 1 else mixed(np.bitwise_xor.reduce(mixed(prints + _GOLDENS[:words]), axis=1))
                 high = prints.astype(">u8").tobytes()
                 yield pa.RecordBatch.from_pydict({
                     "_row": batch.column("_row").slice(first, end - first),
@@ -92,17 +87,16 @@ def _fingerprinter(size: int, words: int, distinct: bool):
     return run
 
 
-def fingerprints(docs: DataFrame, carry: list[str], size: int = 3, words: int = 1, distinct: bool = False, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, carry: list[str], size: int = 3, words: int = 1, text: str = "text") -> DataFrame:
     """(_row: the columns `carry`, node long, fingerprint binary) for every row of `docs`.
 
-    A bit of the fingerprint is set if over half of the shingle hashes (XXH64, seed 42) have it; `distinct` counts each
-    shingle once. No words: all bits are 0. `node` names the fingerprint: its value as a long, or a hash of a wider one;
-    with `distinct` it is a hash of the set.
+    A bit of the fingerprint is set if over half of the shingle hashes (XXH64, seed 42) have it. No words: all bits
+    are 0. `node` names the fingerprint: its value as a long, or a hash of a wider one.
     Memory of a task: about 200 times its longest text.
     """
     rows = docs.select(F.struct(*carry).alias("_row"), F.col(text).alias("_text"))
     kind = rows.select("_row", F.lit(0).cast("long").alias("node"), F.lit(b"").alias("fingerprint")).schema
-    return rows.mapInArrow(_fingerprinter(size, words, distinct), kind)
+    return rows.mapInArrow(_fingerprinter(size, words), kind)
 
 
 # Buckets ---------------------------------------------------------------------------
@@ -121,14 +115,6 @@ def shared_blocks(count: int, bits: int = 64, radius: int = 3) -> list[np.ndarra
     return [np.concatenate(chosen) for chosen in combinations(blocks, kept)]
 
 
-def random_bands(count: int, bits: int, agree: float, missed: float = 0.02) -> list[np.ndarray]:
-    """Random bit sets; a pair whose bits agree with chance `agree` shares none with a chance of `missed` at most."""
-    width = max(12, ceil(log2(max(count, 1) / BUCKET_ROWS + 1)))
-    bands = ceil(log(missed) / log(1 - agree**width))
-    rng = np.random.default_rng(SEED)
-    return [rng.choice(bits, width, replace=False) for _ in range(bands)]
-
-
 def _bits(column: pa.Array) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1), axis=1)
 
@@ -289,8 +275,9 @@ def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pair = lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j))
     keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
-    # There are fewer such keys than rows / BLOCK_ROWS, or bytes / PAIR_BYTES.
-    both = rows.join(F.broadcast(blocks), "key", "left")
+    blocks = written(blocks, "blocks")
+    # Above the bound the join is a shuffle, and adaptive execution splits its hot keys.
+    both = rows.join(F.broadcast(blocks) if blocks.count() <= MAX_LARGE else blocks, "key", "left")
     return both.select(F.explode(keys).alias("key"), *[c for c in rows.columns if c != "key"])
 
 
@@ -309,6 +296,16 @@ def similar(prints: DataFrame, tables: list[np.ndarray], radius: int) -> DataFra
     return components(edges)
 
 
+def rooted(found: DataFrame, least: Column) -> DataFrame:
+    """(node, least, root) for every distinct fingerprint of `found` (node, fingerprint, and what the aggregate `least` reads).
+
+    Copies of a fingerprint are pre-aggregated before the shuffle, so a hot one is no large group.
+    """
+    nodes = written(found.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), least), "nodes")
+    roots = similar(nodes.select("node", "fingerprint"), shared_blocks(nodes.count(), radius=RADIUS), RADIUS)
+    return nodes.drop("fingerprint").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as hex, component_id) for every row of `docs`: 64 bits over three-word shingles, radius 3.
 
@@ -316,130 +313,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     smallest, and a class of them alone has a null one. Texts without words have fingerprint 0 and link like any other.
     """
     found = written(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), text), ["doc_id"], text=text), "prints")
-    nodes = written(found.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("_row.doc_id").alias("least")), "nodes")
-    roots = similar(nodes.select("node", "fingerprint"), shared_blocks(nodes.count()), 3)
-    classed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = rooted(found, F.min("_row.doc_id").alias("least"))
     firsts = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     classed = classed.join(firsts, "root").select("node", "component_id")
     rows = found.select(F.col("_row.doc_id").alias("doc_id"), "node", F.lower(F.hex("fingerprint")).alias("fingerprint"))
     return rows.join(classed, "node").select("doc_id", "fingerprint", "component_id")
 
 
-# The similarity itself -------------------------------------------------------------
-
-
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, borders in text_parts(batch.column("text")):
-                raw, sets = data.tobytes(), []
-                for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                    digests = b"".join({xxhash.xxh64_digest(p, SEED) for p in shingles(raw[s:e], size)})
-                    sets.append(np.sort(np.frombuffer(digests, dtype=">u8").astype("<u8")).tobytes())
-                yield pa.RecordBatch.from_pydict({
-                    "key": batch.column("key").slice(first, end - first), "node": batch.column("node").slice(first, end - first),
-                    "set": pa.array(sets, type=pa.binary()),
-                })
-
-    return run
-
-
-def alike_rows(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with a Jaccard similarity of `similarity` or more that connect all such pairs.
-
-    Every set is compared with all later ones that it is not connected with yet, so no pair is left out.
-    """
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    label, left, right = np.arange(len(sets)), [], []
-    for row in np.flatnonzero(sizes):
-        smaller, larger = np.minimum(sizes, sizes[row]), np.maximum(sizes, sizes[row])
-        rest = np.flatnonzero((np.arange(len(sets)) > row) & (label != label[row]) & (smaller >= similarity * larger - 1e-6) & (sizes > 0))
-        if not len(rest):
-            continue
-        inside = np.zeros(len(names), dtype=bool)
-        inside[ids[starts[row] : starts[row] + sizes[row]]] = True
-        begin = np.cumsum(sizes[rest]) - sizes[rest]
-        at = np.repeat(starts[rest] - begin, sizes[rest]) + np.arange(sizes[rest].sum())
-        common = np.add.reduceat(inside[ids[at]], begin, dtype=np.int64)
-        hit = rest[common * (1 + similarity) >= similarity * (sizes[row] + sizes[rest]) - 1e-6]
-        if len(hit):
-            left.append(np.full(len(hit), row))
-            right.append(hit)
-            merged = np.isin(label, label[np.append(hit, row)])
-            label[merged] = label[merged].min()
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _verifier(similarity: float):
-    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts)
-        nodes = rows.column("node").combine_chunks().to_numpy()
-        sets = [np.frombuffer(s, dtype="<u8") for s in rows.column("set").to_pylist()]
-        a, b = alike_rows(sets, similarity)
-        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0].column("key")[0].as_py() != keys[s]:
-                    yield links(held)
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield links(held)
-
-    return run
-
-
-def alike(groups: DataFrame, texts: DataFrame, similarity: float, size: int = 5) -> DataFrame:
-    """Links (a, b) that connect the nodes of each group whose shingle sets have a Jaccard similarity of `similarity` or more.
-
-    `groups` has (node, key), `texts` (node, text). Sets are made of the texts of groups only; a group above
-    `PAIR_ROWS` rows or `PAIR_BYTES` of text is dealt into blocks, each pair of which is a task's work.
-    """
-    rows = written(texts.join(groups, "node").select("key", "node", "text"), "groups")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.ceil(2 * F.greatest(F.col("n") / PAIR_ROWS, F.col("bytes") / PAIR_BYTES)).cast("long")
-    large = sizes.filter((F.col("n") > PAIR_ROWS) | (F.col("bytes") > PAIR_BYTES)).select("key", blocks.alias("blocks"))
-    sets = rows.mapInArrow(_sets(size), "key long, node long, set binary")
-    sets = dealt(sets, large).repartition("key").sortWithinPartitions("key", "node")
-    return sets.mapInArrow(_verifier(similarity), "a long, b long")
-
-
-def radius_of(similarity: float, bits: int, margin: float = 4) -> int:
-    """Bits in which fingerprints of texts with this Jaccard similarity differ, and `margin` deviations more."""
-    chance = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * chance + margin * sqrt(bits * chance * (1 - chance)))
-
-
-def without_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 16) -> DataFrame:
+def without_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, with the columns it came with.
 
-    Documents link if the Jaccard similarity of their distinct five-word shingles, told apart by 64-bit hashes, is
-    `similarity` or more. 1,024 bits over the shingles only find the candidates, with 4 deviations of allowance; all pairs
-    of documents that candidates connect are then compared by their sets. Null ids come last, repeated rows leave one.
+    Groups are the classes of `near_classes`: three-word shingles, fingerprints that differ in `RADIUS` bits at most, over
+    any number of links; the bit distance alone decides. Null ids come last, repeated rows leave one, documents without
+    words are one group. Texts move once, to meet the names of those that stay.
     """
-    marked = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("mark"))
-    found = written(fingerprints(marked, ["doc_id", "mark"], size=5, words=words, distinct=True), "prints")
-    nodes = written(found.groupBy("node").agg(F.first("fingerprint").alias("fingerprint")), "nodes")
-    bits = 64 * words
-    agree = 1 - acos(2 * similarity / (1 + similarity)) / pi
-    near = similar(nodes, random_bands(nodes.count(), bits, agree, missed=0.001), radius_of(similarity, bits))
-    groups = written(near.select("node", F.col("root").alias("key")).union(near.select("root", "root").distinct()), "near")
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
-    one = found.select("_row.*", "node").join(groups, "node", "left_semi").groupBy("node").agg(F.min(name).alias("one"))
-    texts = marked.select("text", name.alias("this")).join(one, F.col("this").eqNullSafe(F.col("one"))).select("node", "text")
-    roots = components(alike(groups, texts, similarity))
-    rows = found.select("_row.*", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rows.groupBy("root").agg(F.min(name).alias("kept")).select("kept")
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("mark"))
+    found = fingerprints(marked, ["doc_id", "mark"]).select("node", "fingerprint", "_row.*")
+    kept = rooted(found, F.min(name).alias("least")).groupBy("root").agg(F.min("least").alias("kept")).select("kept")
     number = F.row_number().over(Window.partitionBy("this").orderBy(F.lit(1)))
     same = marked.select("row", name.alias("this")).join(kept, F.col("this").eqNullSafe(F.col("kept")))
     return same.select("row", number.alias("n")).filter("n = 1").select("row.*")

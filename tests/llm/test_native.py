@@ -102,7 +102,8 @@ def test_pipeline(spark, docs_of):
         if number < 3:
             assert out.count() <= docs.count() and out.select("doc_id").distinct().count() == out.count()
         docs = spark.createDataFrame(out.collect(), out.schema)
-    assert docs.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert docs.columns == [*start, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert docs.select("shard", "slot").distinct().count() == docs.count()
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
 
