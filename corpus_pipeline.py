@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: three-word shingles, fingerprints within three bits."""
     return simhash.without_near_copies(docs)
 
 
@@ -33,8 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_places(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and the place in it for every document of the mix."""
-    return shards.sharded(docs)
+    """Every document of the mix with its shard and the place in it."""
+    return shards.placed(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
