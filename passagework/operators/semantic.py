@@ -82,9 +82,12 @@ def embedded(rows: DataFrame) -> DataFrame:
 
 
 def hashing_embedder(dim: int = 64, seed: int = 7) -> Embedder:
-    """A model-free embedder for tests: signed word hashing to a unit vector."""
+    """A model-free embedder for tests: signed word hashing to a unit vector.
+
+    The first eight hex digits of the MD5 of seed and word give its dimension, the ninth its sign (8 and above: plus).
+    """
     import re
-    from zlib import crc32
+    from hashlib import md5
 
     word = re.compile(r"\w+")
 
@@ -93,8 +96,8 @@ def hashing_embedder(dim: int = 64, seed: int = 7) -> Embedder:
         for text in texts:
             vector = np.zeros(dim)
             for token in word.findall(text.lower()):
-                code = crc32(token.encode("utf-8"), seed)
-                vector[code % dim] += 1.0 if code & 0x80000000 else -1.0
+                code = md5(f"{seed}:{token}".encode()).hexdigest()
+                vector[int(code[:8], 16) % dim] += 1.0 if code[8] >= "8" else -1.0
             length = np.linalg.norm(vector)
             out.append(vector / length if length else vector)
         return out

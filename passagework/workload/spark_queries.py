@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagework.functions import files as P, text as X
 from passagework.functions.vectors import cosine, norm
-from passagework.operators import catalog, chunking, clauses as C, filters, matching, postings, ranking, semantic
+from passagework.operators import banded, catalog, chunking, clauses as C, filters, matching, postings, ranking, semantic
 from passagework.operators.joins import bounded_rows
 from passagework.plans import incremental, output, search, store as stores
 from passagework.schemas import CHUNK_KEY
@@ -592,7 +592,19 @@ def related_files(spark, sf_dir):
 def embed_hash(spark, sf_dir):
     chunks = chunking.cut_chunks(_contents(spark, sf_dir))
     rows = semantic.embed_chunks(chunks, semantic.hashing_embedder())
-    return rows.select(*CHUNK_KEY, F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("length"), "error")
+    signs = F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0"))
+    return rows.select(
+        *CHUNK_KEY, F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("length"),
+        F.array_join(signs, "").alias("signs"), "error",
+    )
+
+
+@register
+def related_banded(spark, sf_dir):
+    """Related documents by their hashed words: at 0.8 or more, found by bands."""
+    chunks = chunking.cut_chunks(_contents(spark, sf_dir))
+    rows = semantic.embedded(semantic.embed_chunks(chunks, semantic.hashing_embedder()))
+    return _score(banded.related_banded(rows, 5, 0.8, 0.01), "query_id", "rank", "file_id")
 
 
 def _both_lists(spark, sf_dir, k):

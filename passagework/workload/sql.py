@@ -230,6 +230,32 @@ ORACLES["search_context"] = f"""{BENCH_HITS}, top AS (SELECT *, {RANK} FROM foun
 ORACLES["stored_context"] = ORACLES["search_context"]
 
 
+def snippets(k: int) -> str:
+    """`shown`: the k best files of each benchmark text with the 40 words around most of its distinct words."""
+    pattern = r"[\p{L}\p{N}\p{Co}]+"
+    return f"""{BENCH_HITS}, {top_files('found', k)},
+ asked AS (SELECT query_id, list(term) AS q FROM units GROUP BY query_id),
+ cutup AS (SELECT query_id, rank, file_id, chunk_no, score, q, regexp_extract_all(content, '{pattern}') AS w,
+  regexp_split_to_array(content, '{pattern}') AS g FROM top JOIN chunks USING (file_id, chunk_no) JOIN asked USING (query_id)),
+ folded AS (SELECT *, regexp_extract_all(translate(lower(array_to_string(w, ' ')), '{FOLD_FROM}', '{FOLD_TO}'), '{pattern}') AS f FROM cutup),
+ marked AS (SELECT *, list_transform(f, lambda x: CASE WHEN list_contains(q, x) THEN x END) AS h FROM folded),
+ scanned AS (SELECT *, list_transform(range(0, greatest(len(w) - 40, 0) + 1), lambda s: len(list_distinct(h[s + 1 : s + 40]))) AS n FROM marked),
+ placed AS (SELECT *, list_position(n, list_max(n)) AS a, least(list_position(n, list_max(n)) + 39, len(w)) AS z FROM scanned),
+ shown AS (SELECT query_id, rank, file_id, chunk_no, score, (CASE WHEN a > 1 THEN '...' ELSE g[1] END)
+  || array_to_string(list_transform(range(a, z + 1), lambda i: (CASE WHEN i = a THEN '' ELSE g[i] END)
+   || (CASE WHEN h[i] IS NULL THEN w[i] ELSE '>>>' || w[i] || '<<<' END)), '')
+  || (CASE WHEN z < len(w) THEN '...' ELSE g[z + 1] END) AS snippet FROM placed)"""
+
+
+ORACLES["search_snippet"] = f"{snippets(10)} SELECT query_id, rank, file_id, chunk_no, score, snippet FROM shown"
+ORACLES["search_json"] = f"""{snippets(5)},
+ lists AS (SELECT query_id, string_agg('{{"path":' || to_json(path) || ',"tags":'
+   || to_json('["' || tag1 || '","' || tag2 || '"]') || ',"score":' || to_json(score) || ',"snippet":' || to_json(snippet) || '}}',
+   ',' ORDER BY rank) AS hits, count(*) AS n FROM shown JOIN files USING (file_id) GROUP BY query_id)
+ SELECT CAST(item_id AS VARCHAR) AS query_id, '{{"query":' || to_json(text) || ',"count":' || coalesce(n, 0) || ',"results":'
+  || coalesce('[' || hits || ']', 'null') || '}}' AS json FROM benchmark LEFT JOIN lists ON query_id = CAST(item_id AS VARCHAR)"""
+
+
 def _routed() -> str:
     word_units = "VALUES ('ascii','that',2),('ascii','the',2),('kana','pア認ア',1),('long','mエー한エ',2),('long','dエl',2)," \
         "('mixed','lア証',2),('mixed','the',2),('short','認認',1)"
@@ -368,3 +394,11 @@ ORACLES["semantic_text"] = f"""WITH {VEC}, {MEANS}, {files()}, {cut()},
   round(list_cosine_similarity(m, e), 9) AS score FROM means, v),
  {top_files('pairs', 10)}
  SELECT query_id, rank, file_id, chunk_no, md5(content) AS content, round(score, 6) AS score FROM top JOIN chunks USING (file_id, chunk_no)"""
+ORACLES["embed_hash"] = f"""{CHUNKS},
+ tokens AS (SELECT file_id, chunk_no, md5('7:' || unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) AS code FROM chunks),
+ cells AS (SELECT file_id, chunk_no, CAST('0x' || code[1:8] AS BIGINT) % 64 AS d, sum(CASE WHEN code[9] >= '8' THEN 1 ELSE -1 END) AS x
+  FROM tokens GROUP BY ALL),
+ grid AS (SELECT file_id, chunk_no, unnest(range(0, 64)) AS d FROM chunks)
+ SELECT file_id, chunk_no, CAST(64 AS BIGINT) AS dim, CASE WHEN bool_or(x <> 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length,
+  string_agg(CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END, '' ORDER BY d) AS signs, CAST(NULL AS VARCHAR) AS error
+ FROM grid LEFT JOIN cells USING (file_id, chunk_no, d) GROUP BY file_id, chunk_no"""

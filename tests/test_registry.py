@@ -25,7 +25,7 @@ def test_query(spark, con, name):
 
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"search_snippet", "search_json", "embed_hash"}
+    assert set(QUERIES) - set(ORACLES) == {"related_banded"}
 
 
 def test_entry(spark):
