@@ -1,11 +1,14 @@
 """Postings against plain Python; tokens of a chunk are not sorted as structs inside its row."""
 
+import hashlib
 import re
 from collections import defaultdict
 
 import pytest
 
 from passagework.operators import postings
+from passagework.plans.corpus import scan_corpus
+from passagework.workload import spark_queries
 
 TEXTS = ["b a b", "", "a", None, "x y x y x", "--", "É e é", "a" * 50]
 
@@ -49,3 +52,14 @@ def test_postings(spark, monkeypatch, most):
 def test_no_sort_of_structs(spark, plan):
     chunks = spark.createDataFrame([(1, 0, "a b")], "file_id long, chunk_no int, content string")
     assert "sort_array" not in plan(postings.gram_postings(chunks))
+
+
+def test_digests_are_made_below_the_join(spark):
+    """Texts of a stored index do not meet the shuffle of the join with their paths."""
+    rows = [(1, "a", "x y"), (2, "b", "z"), (2, "b", "z"), (None, "c", "z")]
+    corpus = scan_corpus(spark.createDataFrame(rows, "file_id long, path string, content string"))
+    found = spark_queries._stored_chunks(corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("md5")
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert sorted(map(tuple, found.collect())) == sorted([("a", 0, digest("x y")), *[("b", 0, digest("z"))] * 4])
