@@ -1,4 +1,7 @@
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,45 @@ def test_rows_without_a_vector_are_left_out(spark):
     assert [(r.query_id, r.file_id) for r in semantic.nearest_files(asked, rows, 1).collect()] == [("q", 1)]
     assert {r.query_id for r in semantic.related_files(rows, 5).collect()} == {"1", "3"}
     assert semantic.file_vectors(rows).count() == 2
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_tiles_equal_brute_force(monkeypatch, chunks, skip_self):
+    """Many ties, zero vectors, and files that go over the end of a tile; ids of queries are names of files or not."""
+    monkeypatch.setattr(semantic, "TILE_ROWS", 16)
+    monkeypatch.setattr(semantic, "SLICE_CELLS", 1)
+    rng = np.random.default_rng(chunks)
+    values = rng.integers(-1, 2, (700, 5)).astype("float32")
+    values[300:] += rng.normal(0, 1e-5, (400, 5)).astype("float32")
+    stored = pd.DataFrame({"file_id": np.arange(700) // chunks, "chunk_no": np.arange(700) % chunks, "embedding": list(values)})
+    ids = np.array([str(i) for i in range(40)] + ["x"], dtype=object)
+    asked = semantic._unit(pd.Series(list(values[:280:7]) + [values[-1]]))
+    sims = np.round(asked @ semantic._unit(stored["embedding"]).T, semantic.SCORE_DIGITS)
+    want = []
+    for q, name in enumerate(ids):
+        best = {}
+        for f, c, s in zip(stored["file_id"], stored["chunk_no"], sims[q]):
+            if not (skip_self and str(f) == name) and (f not in best or s > best[f][0]):
+                best[f] = (s, c)
+        order = sorted(best, key=lambda f: (-best[f][0], f))[:6]
+        want += [(name, f, best[f][1], best[f][0]) for f in order]
+    got = semantic._best_of_slices(asked, ids, stored.sample(frac=1, random_state=1), 6, skip_self)
+    assert [tuple(r) for r in got.to_numpy()] == want
+
+
+def test_blocks_follow_the_size_of_vectors(spark):
+    rows = spark.range(20_000)
+    assert semantic._blocks(rows.selectExpr("array(1F, 2F) as embedding")) == 1
+    assert semantic._blocks(rows.selectExpr("array_repeat(1F, 3000) as embedding")) == 10
+    assert semantic._blocks(rows.selectExpr("array(1F) as embedding").limit(0)) == 1
+
+
+def test_embedder_hashes_a_word_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(semantic, "md5", lambda code: made.append(code) or hashlib.md5(code))
+    vector, none = semantic.hashing_embedder(8)(["a b a B ", "..."])
+    assert sorted(made) == [b"7:a", b"7:b"]
+    assert np.linalg.norm(vector) == pytest.approx(1) and not none.any()
+    one = hashlib.md5(b"7:a").hexdigest()
+    assert semantic.hashing_embedder(8)(["a a"])[0][int(one[:8], 16) % 8] == (1 if one[8] >= "8" else -1)
