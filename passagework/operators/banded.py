@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from passagework.operators import semantic
 from passagework.operators.joins import bounded_join, bounded_rows
 from passagework.operators.ranking import best_per_file, top_k
+from passagework.operators.semantic import SCORED, _best_of_slices, _unit, file_vectors
 from passagework.session import written
 
 # Tasks get the functions of this module themselves and need no installed package.
@@ -28,7 +28,7 @@ SEED = 7
 # Classes that share a bucket on average; more of them ask for longer keys.
 BUCKET_ROWS = 1024
 # A bucket above so many classes is dealt into blocks, each pair of which is a task's work.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 32_768
 
 
 def band_plan(count: int, similarity: float, missed: float) -> tuple[int, int]:
@@ -45,7 +45,7 @@ def _keys(width: int, bands: int):
         for frame in frames:
             if frame.empty:
                 continue
-            unit = semantic._unit(frame["embedding"])
+            unit = _unit(frame["embedding"])
             for band in range(bands):
                 planes = np.random.default_rng([SEED, band]).standard_normal((unit.shape[1], width))
                 signs = unit @ planes > 0
@@ -54,14 +54,10 @@ def _keys(width: int, bands: int):
     return run
 
 
-def _bucket_best(k: int):
+def _bucket_best(k: int, similarity: float):
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         rows = bucket.rename(columns={"least": "file_id"}).assign(chunk_no=0)
-        unit, names = semantic._unit(rows["embedding"]), rows["file_id"].astype(str).to_numpy()
-        best, step = [], max(256, semantic.SLICE_CELLS // max(len(rows), 1))
-        for at in range(0, len(rows), step):
-            best.append(semantic._best_of_slices(unit[at:at + step], names[at:at + step], rows, k, skip_self=True))
-        return pd.concat(best)
+        return _best_of_slices(_unit(rows["embedding"]), rows["file_id"].astype(str).to_numpy(), rows, k, True, similarity)
 
     return run
 
@@ -87,7 +83,7 @@ def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8,
     never. `semantic.related_files` has no such chance and no threshold, at the cost of all pairs. Files without a
     vector, or with a zero one, are related to none.
     """
-    vectors = semantic.file_vectors(embeddings)
+    vectors = file_vectors(embeddings)
     # 96 bits name a vector.
     named = F.concat_ws(".", F.xxhash64("embedding"), F.hash("embedding"))
     some = F.exists("embedding", lambda x: x != 0)
@@ -106,7 +102,7 @@ def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8,
         _keys(width, bands), f"key long, least {id_type}, embedding array<double>"
     )
     # A bucket's best files come with their scores; bands repeat pairs, which best_per_file makes one.
-    scored = _dealt(keyed).groupBy("key").applyInPandas(_bucket_best(k), semantic.SCORED.format(id=id_type))
+    scored = _dealt(keyed).groupBy("key").applyInPandas(_bucket_best(k, similarity), SCORED.format(id=id_type))
     near = top_k(best_per_file(scored.filter(F.col("score") >= similarity)), k)
 
     own = classes.select("vector", F.explode("files").alias("file_id"), F.lit(1.0).alias("score"))

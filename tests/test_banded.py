@@ -77,3 +77,8 @@ def test_copies_of_vectors_are_bands_times_the_classes(spark):
     keyed = rows.select("file_id", "embedding").withColumnRenamed("file_id", "least")
     keyed = keyed.mapInPandas(banded._keys(4, 3), "key long, least long, embedding array<double>")
     assert keyed.count() == 3 * rows.count() == banded._dealt(keyed).count()
+
+
+def test_buckets_of_some_thousands_are_not_copied(spark):
+    keyed = spark.range(20_000).selectExpr("7L as key", "id as least", "array(1D, cast(id as double)) as embedding")
+    assert banded._dealt(keyed).count() == 20_000
