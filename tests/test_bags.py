@@ -1,11 +1,15 @@
 """A batch of one-word clauses gives what the hits of each clause give, without a row for each."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Row, functions as F
 
-from passagework.operators import bags, clauses as C, matching, ranking
+from passagework.operators import bags, banded, clauses as C, matching, postings, ranking, semantic
 from passagework.plans import search
 from passagework.plans.corpus import scan_corpus
 from passagework.plans.store import Store, open_corpus, write_batch
@@ -93,3 +97,15 @@ def test_no_shuffle_of_clause_hits(spark, plan):
         table = C.from_texts(asked, match, bag_of_words=True)
         for found in (search.word_matches(corpus, table), matching.word_chunks(corpus, table)):
             assert "hashpartitioning(query_id" not in plan(found)
+
+
+@pytest.mark.parametrize("made", [
+    lambda: bags._in_runs(bags.Bag([Row(query_id="a", group_no=0, kind="must", term="w")])), lambda: postings._group,
+    lambda: banded._keys(3, 2), lambda: banded._bucket_best(5, 0.8), lambda: semantic.hashing_embedder(),
+])
+def test_tasks_need_no_installed_package(tmp_path, made):
+    """What is sent to tasks can be read where this package is not installed."""
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps(made()))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(open('sent', 'rb').read()); assert 'passagework' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
