@@ -109,3 +109,13 @@ def test_tasks_need_no_installed_package(tmp_path, made):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(open('sent', 'rb').read()); assert 'passagework' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_a_search_is_run_once_for_its_texts(spark, plan):
+    corpus, table = corpus_of(spark, list(enumerate(texts(4)))), table_of(spark, 4)
+    top = search.top_chunks(search.word_matches(corpus, table), 3)
+    found = search.with_content(top, corpus, search.result_rows(table, 3))
+    assert "MapInArrow" in plan(top) and "MapInArrow" not in plan(found)
+    contents = {(r.file_id, r.chunk_no): r.content for r in corpus.chunks.collect()}
+    want = [(*r, contents[r.file_id, r.chunk_no]) for r in top.collect()]
+    assert want and sorted(tuple(r) for r in found.select(*top.columns, "content").collect()) == sorted(want)
