@@ -218,7 +218,7 @@ def write_batch(
     rows = attempt.read(spark, "chunks", kind)
     chunks = rows.filter(F.col("chunk_no") > FILE_ROW).drop("file", "segment")
     if not meta_only:
-        _write_postings(attempt, spark, id_type, "words", "vocabulary", postings.word_postings(chunks), True)
+        _write_postings(attempt, spark, id_type, "words", "vocabulary", postings.word_postings(chunks, by_term=True), True)
         if store.with_grams:
             _write_postings(attempt, spark, id_type, "grams", "gram_vocabulary", postings.gram_presence(chunks), False)
             _write_gram_parts(attempt, spark)

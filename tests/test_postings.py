@@ -63,3 +63,12 @@ def test_digests_are_made_below_the_join(spark):
     assert plan.index("Join") < plan.index("md5")
     digest = lambda text: hashlib.md5(text.encode()).hexdigest()
     assert sorted(map(tuple, found.collect())) == sorted([("a", 0, digest("x y")), *[("b", 0, digest("z"))] * 4])
+
+
+def test_rows_of_a_word_follow_each_other(spark):
+    rows = [(i, i % 2, t) for i, t in enumerate(TEXTS * 3)] + [(0, 0, "b"), (None, 0, "b a")]
+    chunks = spark.createDataFrame(rows, "file_id long, chunk_no int, content string").coalesce(1)
+    found = postings.word_postings(chunks, by_term=True)
+    assert rows_of(found) == wanted(rows, words)
+    terms = [r.term for r in found.collect()]
+    assert sum(a != b for a, b in zip(terms, terms[1:])) == len(set(terms)) - 1
