@@ -254,11 +254,13 @@ def _write_postings(
     attempt: Attempt, spark: SparkSession, id_type: T.DataType, table: str, dictionary: str, rows: DataFrame, counted: bool
 ) -> None:
     # `rebalance` splits the bucket of a hot term over several tasks and files.
-    dealt = (
-        rows.withColumn("bucket", bucket_of(F.col("term"), attempt.store.buckets))
-        .hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "term", *CHUNK_KEY)
-    )
+    dealt = rows.withColumn("bucket", bucket_of(F.col("term"), attempt.store.buckets)).hint("rebalance", "bucket")
+    if "places" in rows.columns:
+        # Sorted as they come, many places in a row, and dealt out after it.
+        dealt = dealt.sortWithinPartitions("bucket", "term", F.get("places", F.lit(0))["file_id"])
+        dealt = dealt.select("term", F.inline("places"), "bucket")
+    else:
+        dealt = dealt.sortWithinPartitions("bucket", "term", *CHUNK_KEY)
     attempt.write(dealt, table, "bucket")
     stored = attempt.read(spark, table, _posting_schema(id_type, counted))
     # In order of the term, so that the words of a prefix lie together.
