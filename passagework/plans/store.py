@@ -13,8 +13,8 @@ while reading. A deletion is a file row with `deleted`. `rebuild` writes all liv
 as the one batch of a new folder.
 
 Postings are split into hash buckets of the term and sorted by term inside, so a
-query reads the buckets of its words and skips row groups by their term range;
-dictionaries are in order of the term. Chunks lie in segments, as they come, without a
+query reads the buckets of its words and skips row groups by their term range; those
+of words lie in lists, many in a row. Dictionaries are in order of the term. Chunks lie in segments, as they come, without a
 shuffle, sorted by file inside in small row groups; `places` tells the segment of each
 file, so the texts of a result are read from the row groups they lie in.
 """
@@ -42,9 +42,13 @@ BUCKETS, SEGMENTS = 64, 256
 PART_BYTES = 16 * 1024**3
 # Text per row group of the chunks: what one result costs to read.
 GROUP_BYTES = 8 * 1024**2
+# Rows of word lists in a page.
+PAGE_ROWS = 1000
 # The row of a chunk table that holds the file itself.
 FILE_ROW = -1
 TOTALS = ["n_chunks", "n_words", "n_grams"]
+# The table of word postings; an index of single rows, named `words`, is not mistaken for one of lists.
+WORDS = "word_lists"
 
 
 @dataclass(frozen=True)
@@ -135,6 +139,11 @@ class Attempt:
     def write(self, frame: DataFrame, table: str, *partitions: str) -> None:
         # A row group holds few texts, so that a result does not cost many.
         writer = frame.write.option("parquet.block.size", str(self.store.group_bytes if table == "chunks" else 128 * 1024**2))
+        if table == WORDS:
+            # Sorted words and rising numbers: differences are smaller than a dictionary, and sooner written.
+            # Pages of few rows, so that a query word does not cost many.
+            page = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
+            writer = writer.options(**{"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", **page})
         (writer.partitionBy(*partitions) if partitions else writer).parquet(self.folder(table))
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
@@ -185,10 +194,13 @@ def _mark_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("file_id", id_type), *_integers("replaced"), *[T.StructField(n, T.LongType()) for n in TOTALS]])
 
 
-def _posting_schema(id_type: T.DataType, counted: bool) -> T.StructType:
+def _gram_schema(id_type: T.DataType) -> T.StructType:
     key = [T.StructField("term", T.StringType()), T.StructField("file_id", id_type), *_integers("chunk_no")]
-    counts = [*_integers("dl", "tf"), T.StructField("positions", T.ArrayType(T.IntegerType()))]
-    return T.StructType([*key, *(counts if counted else []), *_integers("bucket")])
+    return T.StructType([*key, *_integers("bucket")])
+
+
+def _list_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([*postings.lists_schema(id_type).fields, *_integers("bucket")])
 
 
 TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
@@ -218,10 +230,9 @@ def write_batch(
     rows = attempt.read(spark, "chunks", kind)
     chunks = rows.filter(F.col("chunk_no") > FILE_ROW).drop("file", "segment")
     if not meta_only:
-        _write_postings(attempt, spark, id_type, "words", "vocabulary", postings.word_postings(chunks, by_term=True), True)
+        _write_words(attempt, spark, id_type, postings.word_lists(chunks))
         if store.with_grams:
-            _write_postings(attempt, spark, id_type, "grams", "gram_vocabulary", postings.gram_presence(chunks), False)
-            _write_gram_parts(attempt, spark)
+            _write_grams(attempt, spark, id_type, postings.gram_presence(chunks))
     _finish(attempt, spark, rows, id_type, not meta_only, stream, epoch, expected)
     return attempt.batch
 
@@ -250,29 +261,38 @@ def _cut(store: Store, files: DataFrame, meta: list[str], meta_only: bool, all_f
     return measured.select("file_id", "chunk_no", "content", "n_words", "n_grams", "file", "segment").sortWithinPartitions("segment", *CHUNK_KEY)
 
 
-def _write_postings(
-    attempt: Attempt, spark: SparkSession, id_type: T.DataType, table: str, dictionary: str, rows: DataFrame, counted: bool
-) -> None:
-    # `rebalance` splits the bucket of a hot term over several tasks and files.
-    dealt = rows.withColumn("bucket", bucket_of(F.col("term"), attempt.store.buckets)).hint("rebalance", "bucket")
+def _write_words(attempt: Attempt, spark: SparkSession, id_type: T.DataType, lists: DataFrame) -> None:
+    attempt.write(_dealt(attempt, lists).sortWithinPartitions("bucket", "term"), WORDS, "bucket")
+    _write_dictionary(attempt, "vocabulary", postings.list_stats(attempt.read(spark, WORDS, _list_schema(id_type))))
+
+
+def _write_grams(attempt: Attempt, spark: SparkSession, id_type: T.DataType, rows: DataFrame) -> None:
+    dealt = _dealt(attempt, rows)
     if "places" in rows.columns:
         # Sorted as they come, many places in a row, and dealt out after it.
         dealt = dealt.sortWithinPartitions("bucket", "term", F.get("places", F.lit(0))["file_id"])
         dealt = dealt.select("term", F.inline("places"), "bucket")
     else:
         dealt = dealt.sortWithinPartitions("bucket", "term", *CHUNK_KEY)
-    attempt.write(dealt, table, "bucket")
-    stored = attempt.read(spark, table, _posting_schema(id_type, counted))
-    # In order of the term, so that the words of a prefix lie together.
-    attempt.write(postings.term_stats(stored).repartitionByRange("term").sortWithinPartitions("term"), dictionary)
-
-
-def _write_gram_parts(attempt: Attempt, spark: SparkSession) -> None:
-    """Which stored grams hold a part of one or two characters."""
+    attempt.write(dealt, "grams", "bucket")
+    _write_dictionary(attempt, "gram_vocabulary", postings.term_stats(attempt.read(spark, "grams", _gram_schema(id_type))))
+    # Which stored grams hold a part of one or two characters.
     parts = postings.gram_parts(attempt.read(spark, "gram_vocabulary", TERMS))
     attempt.write(parts.repartitionByRange("part").sortWithinPartitions("part", "term"), "gram_parts")
 
 
+def _dealt(attempt: Attempt, rows: DataFrame) -> DataFrame:
+    # `rebalance` splits the bucket of a hot term over several tasks and files. As many parts as buckets: fewer
+    # would hold several each, and every task would write a small file for all of them.
+    n = attempt.store.buckets
+    return rows.withColumn("bucket", bucket_of(F.col("term"), n)).hint("rebalance", n, "bucket")
+
+
+def _write_dictionary(attempt: Attempt, table: str, stats: DataFrame) -> None:
+    # In order of the term, so that the words of a prefix lie together.
+    attempt.write(stats.repartitionByRange("term").sortWithinPartitions("term"), table)
+
+
 def _finish(
     attempt: Attempt, spark: SparkSession, rows: DataFrame, id_type: T.DataType, with_texts: bool, stream: str | None = None,
     epoch: int | None = None, expected: DataFrame | None = None,
@@ -349,8 +369,8 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
         files=files.drop("batch"),
         chunks=alive(all_texts).drop("segment", "batch"),
         stats=_stats(spark, done),
-        words=read("words", _posting_schema(id_type, True)),
-        grams=read("grams", _posting_schema(id_type, False)) if grams else None,
+        words=postings.postings_of(read(WORDS, _list_schema(id_type))),
+        grams=read("grams", _gram_schema(id_type)) if grams else None,
         # Several batches may count replaced files: enough to find words and to choose
         # the rarer gram, never used as a score.
         vocabulary=read("vocabulary", TERMS).drop("batch"),
@@ -387,10 +407,9 @@ def rebuild(store: Store, folder: str, spark: SparkSession) -> Store:
     dealt = dealt.sortWithinPartitions("segment", *CHUNK_KEY)
     attempt.write(dealt.select("file_id", "chunk_no", "content", "n_words", "n_grams", "file", "segment"), "chunks", "segment")
     corpus = open_corpus(store, spark)
-    _write_postings(attempt, spark, id_type, "words", "vocabulary", alive(corpus.words).drop("batch", "bucket"), True)
+    _write_words(attempt, spark, id_type, postings.lists_of(alive(corpus.words)))
     if store.with_grams:
-        _write_postings(attempt, spark, id_type, "grams", "gram_vocabulary", alive(corpus.grams).drop("batch", "bucket"), False)
-        _write_gram_parts(attempt, spark)
+        _write_grams(attempt, spark, id_type, alive(corpus.grams).drop("batch", "bucket"))
     _finish(attempt, spark, attempt.read(spark, "chunks", kind), id_type, True)
     return target
 

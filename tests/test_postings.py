@@ -5,7 +5,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from passagework.functions import text as X
 from passagework.operators import postings
 from passagework.plans.corpus import scan_corpus
 from passagework.workload import spark_queries
@@ -72,3 +74,29 @@ def test_rows_of_a_word_follow_each_other(spark):
     assert rows_of(found) == wanted(rows, words)
     terms = [r.term for r in found.collect()]
     assert sum(a != b for a, b in zip(terms, terms[1:])) == len(set(terms)) - 1
+
+
+def test_lists_of_words(spark, monkeypatch):
+    """Words leave a task once for many chunks, folded after they are told apart, and are the same postings."""
+    odd = ["áb ́ ́a", "İİ ẞß", "x̲y Ⓐ Ⅰ", " ́ ", "Été ete ETÉ"]
+    rows = [(i, i % 2, t) for i, t in enumerate([*TEXTS, *odd] * 30)] + [(0, 0, "b"), (0, 0, "b"), (None, 0, "b a")]
+    chunks = spark.createDataFrame(rows, "file_id long, chunk_no int, content string").coalesce(2)
+    want = rows_of(postings.word_postings(chunks))
+    lists = postings.word_lists(chunks)
+    assert rows_of(postings.postings_of(lists)) == want
+    assert lists.count() < len(want) / 10
+    assert rows_of(postings.postings_of(postings.lists_of(postings.word_postings(chunks)))) == want
+    stats = lambda frame: sorted((r.term, r.df, r.cf) for r in frame.collect())
+    assert stats(postings.list_stats(lists)) == stats(postings.term_stats(postings.word_postings(chunks)))
+    lengths = postings.with_lengths(chunks).select("n_words", "content").collect()
+    assert [r.n_words for r in lengths] == [None if r.content is None else len(words_cut(spark, r.content)) for r in lengths]
+    # Few words at once.
+    monkeypatch.setattr(postings, "LISTED", 3)
+    assert rows_of(postings.postings_of(postings.word_lists(chunks))) == want
+
+
+def words_cut(spark, text, known={}):
+    if text not in known:
+        frame = spark.createDataFrame([(text,)], "t string")
+        known[text] = frame.select(X.word_tokens(F.col("t"))).first()[0]
+    return known[text]
