@@ -364,12 +364,12 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
     alive = _alive(store, spark, id_type, done)
     read = lambda table, schema: _read(store, spark, table, schema, texts)
     all_texts = read("chunks", _chunk_schema(id_type)).filter(F.col("chunk_no") > FILE_ROW)
-    grams = store.with_grams
+    grams, lists = store.with_grams, read(WORDS, _list_schema(id_type))
     return Corpus(
         files=files.drop("batch"),
         chunks=alive(all_texts).drop("segment", "batch"),
         stats=_stats(spark, done),
-        words=postings.postings_of(read(WORDS, _list_schema(id_type))),
+        words=postings.postings_of(lists),
         grams=read("grams", _gram_schema(id_type)) if grams else None,
         # Several batches may count replaced files: enough to find words and to choose
         # the rarer gram, never used as a score.
@@ -380,6 +380,7 @@ def open_corpus(store: Store, spark: SparkSession) -> Corpus:
         texts=all_texts.select(*CHUNK_KEY, "content", "segment", "batch"),
         places=_read(store, spark, "places", _place_schema(id_type), done).select("file_id", F.col("lies_in").alias("segment"), "batch"),
         alive=alive,
+        word_lists=lists,
     )
 
 

@@ -344,14 +344,22 @@ def test_long_files_are_indexed(spark, place):
     assert stores.open_corpus(place, spark).chunks.count() == 1
 
 
-def test_words_are_stored_as_lists(spark, tmp_path, plan):
+def test_words_are_stored_as_lists(spark, tmp_path, plan, monkeypatch):
     """One row holds the postings of many chunks, and a search deals out those of its own words only."""
     place = stores.Store(str(tmp_path / "lists"), buckets=2, with_grams=False)
     stores.write_batch(place, listed(spark, {f"{i}.md": (1, "alpha beta gamma alpha") for i in range(300)}).coalesce(1))
     corpus = stores.open_corpus(place, spark)
     assert corpus.words.count() == 900 and spark.read.parquet(f"{place.folder}/word_lists").count() < 90
     text = plan(matching.word_hits(corpus, C.clause_table(spark, {"q": [[C.phrase("alpha beta")], [C.prefix("gam")]]})))
-    scan = next(line for line in text.splitlines() if "FileScan parquet" in line and "ends" in line)
-    assert "EqualTo(term,alpha)" in scan or "In(term, [" in scan
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "ends" in line]
+    # Places are read of phrases only.
+    assert {"positions#" in scan for scan in scans} == {False, True}
+    assert " = gamma)" in text and " = alpha)" in text
     rows = matching.word_hits(corpus, C.clause_table(spark, {"q": [[C.phrase("gamma alpha")], [C.prefix("al")]]})).collect()
     assert sorted((r.group_no, r.tf, r.dl) for r in rows) == [(0, 1, 4)] * 300 + [(1, 2, 4)] * 300
+    # More words than a scan lists are joined with the lists, not with what is dealt out of them.
+    monkeypatch.setattr(matching, "LISTED_TERMS", 0)
+    table = C.all_of(spark, {"q": "gamma"})
+    text = plan(matching.bag_postings(corpus, table, matching.bags.bag_of(table)))
+    assert text.index("Generate posexplode") < text.index("LeftSemi")
+    assert found(search.word_matches(corpus, table)) != []
