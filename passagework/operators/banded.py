@@ -3,22 +3,27 @@
 Files with equal vectors are one class, so copies meet nobody twice. Each class goes into one bucket for each band; the
 buckets are compared with the exact cosine, and each class hands on its k best. The vectors copied are bands times the
 classes: linear in the input but for the bands, which grow slowly with the count (about its third root at 0.8).
+
+Where vectors crowd together, buckets hold a large part of all classes, and all bands together as many pairs as there
+are. Such classes are compared with all others instead, once and without a chance of missing any: classes are packed
+into blocks, and tasks read pairs of blocks, so that no vector is copied for the pairs it is in.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, isqrt, log, log2, pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passagework.operators.joins import bounded_join, bounded_rows
 from passagework.operators.ranking import best_per_file, top_k
-from passagework.operators.semantic import SCORED, _best_of_slices, _unit, file_vectors
+from passagework.operators.semantic import ERROR, SCORED, _best_of_slices, _kth, _scores, _unit, file_vectors
 from passagework.session import written
 
 # Tasks get the functions of this module themselves and need no installed package.
@@ -29,6 +34,10 @@ SEED = 7
 BUCKET_ROWS = 1024
 # A bucket above so many classes is dealt into blocks, each pair of which is a task's work.
 BLOCK_ROWS = 32_768
+# Classes whose buckets hold together so large a part of all classes are compared with all.
+CROWDED = 0.25
+# Classes of a packed block, bytes of the blocks that a task reads again and again, rows and columns of a product.
+PACKED_ROWS, READ_BYTES, TILE = 16_384, 128 * 1024 * 1024, (1024, 2048)
 
 
 def band_plan(count: int, similarity: float, missed: float) -> tuple[int, int]:
@@ -40,16 +49,20 @@ def band_plan(count: int, similarity: float, missed: float) -> tuple[int, int]:
     return width, 1 if meet >= 1 else ceil(log(missed) / log(1 - meet))
 
 
+def _band_keys(unit: np.ndarray, width: int, bands: int) -> Iterator[np.ndarray]:
+    for band in range(bands):
+        planes = np.random.default_rng([SEED, band]).standard_normal((unit.shape[1], width))
+        signs = unit @ planes > 0
+        yield signs @ (np.int64(1) << np.arange(width, dtype=np.int64)) + (np.int64(band) << 40)
+
+
 def _keys(width: int, bands: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if frame.empty:
                 continue
-            unit = _unit(frame["embedding"])
-            for band in range(bands):
-                planes = np.random.default_rng([SEED, band]).standard_normal((unit.shape[1], width))
-                signs = unit @ planes > 0
-                yield frame.assign(key=signs @ (np.int64(1) << np.arange(width, dtype=np.int64)) + (np.int64(band) << 40))
+            for key in _band_keys(_unit(frame["embedding"]), width, bands):
+                yield frame.assign(key=key)
 
     return run
 
@@ -76,11 +89,192 @@ def _dealt(keyed: DataFrame) -> DataFrame:
     return both.select(F.explode(keys).alias("key"), "least", "embedding")
 
 
+# Crowded classes --------------------------------------------------------------------------
+
+
+def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+
+
+def _bucket_sizes(width: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = [np.unique(key, return_counts=True) for key in _band_keys(_units(batch.column(0)), width, bands)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*some)], ["key", "n"])
+
+    return run
+
+
+def _marks(width: int, bands: int, keys: np.ndarray, sizes: np.ndarray, most: float):
+    """A column `crowded` more: whether the large buckets of a class hold `most` classes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.zeros(batch.num_rows)
+            if batch.num_rows:
+                for key in _band_keys(_units(batch.column("embedding")), width, bands):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    held += np.where(keys[at] == key, sizes[at], 0)
+            yield batch.append_column("crowded", pa.array(held >= most))
+
+    return run
+
+
+def _marked(classes: DataFrame, count: int, width: int, bands: int) -> DataFrame | None:
+    """The classes with `crowded`; none if no class is. Few classes are in no large bucket and need no other way."""
+    if count <= BLOCK_ROWS:
+        return None
+    sizes = classes.select("embedding").mapInArrow(_bucket_sizes(width, bands), "key long, n long")
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"))
+    # Buckets below half the average of what makes a class crowded do not count: those that do are few, whatever the input.
+    large = sorted((r["key"], r["n"]) for r in sizes.filter(F.col("n") >= CROWDED * count / (2 * bands)).collect())
+    if not large:
+        return None
+    keys, sizes = (np.array(x, np.int64) for x in zip(*large))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", crowded boolean"
+    return written(classes.mapInArrow(_marks(width, bands, keys, sizes, CROWDED * count), schema), "marked")
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    unit = _units(table["embedding"])
+    files = pa.ListArray.from_arrays([0, len(unit)], table["least"].combine_chunks())
+    return pa.table({"block": table["block"][:1], "files": files, "unit": pa.array([unit.tobytes()], pa.binary())})
+
+
+class _Nearest:
+    """The k best files of every class of a block, of those a task has met."""
+
+    def __init__(self, files: np.ndarray, k: int, similarity: float):
+        self.files, self.similarity = files, similarity
+        self.scores, self.found = np.full((len(files), k), -np.inf), np.zeros((len(files), k), files.dtype)
+        # What k files are known to reach.
+        self.floor = np.full(len(files), similarity)
+
+    def offer(self, unit: np.ndarray, first: int, files: np.ndarray, others: np.ndarray, at: int, sims: np.ndarray, across: bool) -> None:
+        """Products in single precision of some classes, in rows or across, and others: what may be among the best is scored anew."""
+        error, k = ERROR * (unit.shape[1] + 8), self.scores.shape[1]
+        size = sims.shape[across]
+        floor = self.floor[first:first + size]
+        good = sims >= _bar(floor - error, across)
+        if np.count_nonzero(good) > 8 * k * size:
+            floor = np.maximum(floor, _kth(np.ascontiguousarray(sims.T) if across else sims, k) - error)
+            good = sims >= _bar(floor - error, across)
+        rows, cols = np.divmod(_true(good), sims.shape[1])
+        if across:
+            rows, cols = cols, rows
+        scores = _scores(unit, others, rows + first, cols + at)
+        near = scores >= self.similarity
+        if near.any():
+            self._keep(rows[near] + first, files[cols[near] + at], scores[near])
+
+    def _keep(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        hit, k = np.unique(rows), self.scores.shape[1]
+        rows = np.concatenate([np.repeat(hit, k), rows])
+        found = np.concatenate([self.found[hit].ravel(), found])
+        scores = np.concatenate([self.scores[hit].ravel(), scores])
+        order = np.lexsort((found, -scores, rows))
+        rows = rows[order]
+        best = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+        self.found = self.found.astype(found.dtype, copy=False)
+        self.found[hit], self.scores[hit] = found[best].reshape(-1, k), scores[best].reshape(-1, k)
+        self.floor[hit] = np.maximum(self.floor[hit], self.scores[hit, -1])
+
+    def rows(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.files), 4096):
+            row, place = np.nonzero(self.scores[at:at + 4096] > -np.inf)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(self.files[row + at].astype(str), pa.string()), pa.array(self.found[row + at, place], id_type),
+                    pa.array(np.zeros(len(row), np.int32)), pa.array(self.scores[row + at, place]),
+                ], ["query_id", "file_id", "chunk_no", "score"])
+
+
+def _bar(floor: np.ndarray, across: bool) -> np.ndarray:
+    bar = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+    return bar if across else bar[:, None]
+
+
+def _true(good: np.ndarray) -> np.ndarray:
+    """Where few of many flags are set."""
+    flat = good.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
+def _meet(left: _Nearest, a: np.ndarray, right: _Nearest, b: np.ndarray) -> None:
+    """All pairs of two blocks, or of one with itself; each product serves both classes of a pair."""
+    x, y = a.astype(np.float32), b.astype(np.float32)
+    rows, cols = (TILE[0], TILE[0]) if left is right else TILE
+    for i in range(0, len(a), rows):
+        for j in range(i if left is right else 0, len(b), cols):
+            sims = x[i:i + rows] @ y[j:j + cols].T
+            same = left is right and i == j
+            if same:
+                np.fill_diagonal(sims, -np.inf)
+            left.offer(a, i, right.files, b, j, sims, False)
+            if not same:
+                right.offer(b, j, left.files, a, i, sims, True)
+
+
+def _blocks_best(k: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, id_type = {}, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                sides = []
+                for side in ("a", "b"):
+                    no, listed, unit = (batch.column(f"{side}_{c}")[at] for c in ("block", "files", "unit"))
+                    id_type, files = listed.values.type, listed.values.to_numpy(zero_copy_only=False)
+                    if no.as_py() not in met:
+                        met[no.as_py()] = _Nearest(files.astype(str) if files.dtype == object else files, k, similarity)
+                    sides += [met[no.as_py()], np.frombuffer(unit.as_buffer(), np.float64).reshape(len(files), -1)]
+                _meet(*sides)
+        for best in met.values():
+            yield from best.rows(id_type)
+
+    return run
+
+
+def _packed(marked: DataFrame) -> tuple[DataFrame, int, int]:
+    """block, files, unit: each class in one block; the number of blocks, and of the crowded ones, which come first."""
+    id_type = marked.schema["least"].dataType.simpleString()
+    n = {r["crowded"]: r["count"] for r in marked.groupBy("crowded").count().collect()}
+    crowded, others = (ceil(n.get(x, 0) / PACKED_ROWS) for x in (True, False))
+    own = F.xxhash64("least")
+    block = F.when(F.col("crowded"), F.pmod(own, F.lit(max(crowded, 1)))).otherwise(F.pmod(own, F.lit(max(others, 1))) + crowded)
+    rows = marked.select(block.cast("long").alias("block"), "least", "embedding")
+    packed = rows.groupBy("block").applyInArrow(_pack, f"block long, files array<{id_type}>, unit binary")
+    return packed, crowded + others, crowded
+
+
+def _crowded_best(marked: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The best files of each class, of all pairs with a crowded one."""
+    packed, blocks, crowded = _packed(marked)
+    slots = marked.sparkSession.sparkContext.defaultParallelism
+    dim = marked.select(F.size("embedding")).first()[0]
+    # A task reads its own part of the blocks once for each block of another part.
+    parts = min(blocks, max(isqrt(8 * slots), ceil(8 * dim * blocks * PACKED_ROWS / READ_BYTES)))
+    placed = packed.repartitionById(parts, F.floor(F.col("block") * parts / blocks).cast("int"))
+    left, right = (placed.select(*(F.col(c).alias(f"{side}_{c}") for c in placed.columns)) for side in "ab")
+    # Without a key to shuffle by: Spark reads the parts for each pair of them and copies nothing.
+    pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("a_block") <= F.col("b_block")) & (F.col("a_block") < crowded))
+    id_type = marked.schema["least"].dataType.simpleString()
+    return pairs.mapInArrow(_blocks_best(k, similarity), SCORED.format(id=id_type))
+
+
 def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
     """query_id, file_id, score, rank: up to k other files of every file with a cosine of `similarity` or more.
 
     Scores are exact. A file at `similarity` is left out with a chance of `missed`, nearer ones with less; equal vectors
-    never. `semantic.related_files` has no such chance and no threshold, at the cost of all pairs. Files without a
+    never, nor those of a crowded class. `semantic.related_files` has no such chance and no threshold, at the cost of all pairs. Files without a
     vector, or with a zero one, are related to none.
     """
     vectors = file_vectors(embeddings)
@@ -97,13 +291,19 @@ def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8,
     classes = written(classes, "classes")
 
     id_type = embeddings.schema["file_id"].dataType.simpleString()
-    width, bands = band_plan(classes.count(), similarity, missed)
-    keyed = classes.select("least", "embedding").mapInPandas(
-        _keys(width, bands), f"key long, least {id_type}, embedding array<double>"
-    )
+    count = classes.count()
+    width, bands = band_plan(count, similarity, missed)
+    banded = classes.select("least", "embedding")
+    marked = _marked(banded.filter(F.col("least").isNotNull()), count, width, bands)
+    if marked is not None:
+        banded = marked.filter(~F.col("crowded")).drop("crowded")
+    keyed = banded.mapInPandas(_keys(width, bands), f"key long, least {id_type}, embedding array<double>")
     # A bucket's best files come with their scores; bands repeat pairs, which best_per_file makes one.
     scored = _dealt(keyed).groupBy("key").applyInPandas(_bucket_best(k, similarity), SCORED.format(id=id_type))
-    near = top_k(best_per_file(scored.filter(F.col("score") >= similarity)), k)
+    scored = best_per_file(scored.filter(F.col("score") >= similarity))
+    if marked is not None:
+        scored = scored.unionByName(_crowded_best(marked, k, similarity))
+    near = top_k(scored, k)
 
     own = classes.select("vector", F.explode("files").alias("file_id"), F.lit(1.0).alias("score"))
     names = classes.select("vector", F.col("least").cast("string").alias("query_id"))

@@ -82,3 +82,28 @@ def test_copies_of_vectors_are_bands_times_the_classes(spark):
 def test_buckets_of_some_thousands_are_not_copied(spark):
     keyed = spark.range(20_000).selectExpr("7L as key", "id as least", "array(1D, cast(id as double)) as embedding")
     assert banded._dealt(keyed).count() == 20_000
+
+
+def test_crowded_classes_are_compared_with_all(spark, monkeypatch):
+    rows = frame(spark, np.concatenate([vectors(seed=8), 0.3 * vectors(seed=9, centres=6) + 1]))
+    monkeypatch.setattr(banded, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(banded, "PACKED_ROWS", 40)
+    monkeypatch.setattr(banded, "TILE", (16, 24))
+    # One band of four bits by itself misses more than half of the pairs at 0.8.
+    assert banded.band_plan(552, 0.8, 0.8) == (4, 1)
+    monkeypatch.setattr(banded, "CROWDED", 0.002)
+    assert listed(banded.related_banded(rows, 5, 0.8, 0.8)) == exact(rows, 5, 0.8)
+
+
+def test_crowded_classes_by_text_are_packed_once(spark, monkeypatch):
+    rows = frame(spark, np.concatenate([0.3 * vectors(seed=10, centres=5) + 1, vectors(seed=11, centres=24, around=1)]))
+    classes = rows.selectExpr("concat('f', file_id) as least", "cast(embedding as array<double>) as embedding")
+    monkeypatch.setattr(banded, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(banded, "PACKED_ROWS", 16)
+    marked = banded._marked(classes, 84, 8, 10)
+    assert 0 < marked.filter("crowded").count() < 84
+    packed, blocks, crowded = banded._packed(marked)
+    files = packed.selectExpr("block", "explode(files) as least").join(marked, "least")
+    assert files.count() == 84 and files.filter(files["crowded"] != (files["block"] < crowded)).count() == 0
+    renamed = rows.selectExpr("concat('f', file_id) as file_id", "chunk_no", "embedding")
+    assert listed(banded.related_banded(renamed, 4, 0.8, 1e-9)) == exact(renamed, 4, 0.8)
