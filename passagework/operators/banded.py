@@ -6,7 +6,8 @@ classes: linear in the input but for the bands, which grow slowly with the count
 
 Where vectors crowd together, buckets hold a large part of all classes, and all bands together as many pairs as there
 are. Such classes are compared with all others instead, once and without a chance of missing any: classes are packed
-into blocks, and tasks read pairs of blocks, so that no vector is copied for the pairs it is in.
+into blocks, and tasks read pairs of blocks, so that no vector is copied for the pairs it is in. Blocks hold classes near
+each other; classes that cannot be near enough to any of a tile of a block, by its middle and radius, are not scored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED = 7
 # Classes that share a bucket on average; more of them ask for longer keys.
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 8192
 # A bucket above so many classes is dealt into blocks, each pair of which is a task's work.
 BLOCK_ROWS = 32_768
 # Classes whose buckets hold together so large a part of all classes are compared with all.
 CROWDED = 0.25
-# Classes of a packed block, bytes of the blocks that a task reads again and again, rows and columns of a product.
-PACKED_ROWS, READ_BYTES, TILE = 16_384, 128 * 1024 * 1024, (1024, 2048)
+# Classes of a packed block and of a tile, bytes of the blocks that a task reads again and again, centres of blocks.
+PACKED_ROWS, TILE, READ_BYTES, CENTRES = 16_384, 1024, 128 * 1024 * 1024, 64
 
 
 def band_plan(count: int, similarity: float, missed: float) -> tuple[int, int]:
@@ -93,11 +94,15 @@ def _dealt(keyed: DataFrame) -> DataFrame:
 
 
 def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column that is not empty; zeros where a vector has no finite length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.unique(column.value_lengths())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes[0]} and of {sizes[-1]} numbers")
     matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=(lengths > 0) & np.isfinite(lengths))
 
 
 def _bucket_sizes(width: int, bands: int):
@@ -116,11 +121,12 @@ def _marks(width: int, bands: int, keys: np.ndarray, sizes: np.ndarray, most: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held = np.zeros(batch.num_rows)
-            if batch.num_rows:
-                for key in _band_keys(_units(batch.column("embedding")), width, bands):
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    held += np.where(keys[at] == key, sizes[at], 0)
+            for key in _band_keys(_units(batch.column("embedding")), width, bands):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                held += np.where(keys[at] == key, sizes[at], 0)
             yield batch.append_column("crowded", pa.array(held >= most))
 
     return run
@@ -141,37 +147,66 @@ def _marked(classes: DataFrame, count: int, width: int, bands: int) -> DataFrame
     return written(classes.mapInArrow(_marks(width, bands, keys, sizes, CROWDED * count), schema), "marked")
 
 
+def _nearest_centres(centres: np.ndarray):
+    """Columns more: `centre`, the number of the nearest, and `far`, which grows with the distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sims = _units(batch.column("embedding")) @ centres.T
+            centre = sims.argmax(axis=1)
+            batch = batch.append_column("centre", pa.array(centre.astype(np.int32)))
+            yield batch.append_column("far", pa.array(-sims[np.arange(len(centre)), centre]))
+
+    return run
+
+
 def _pack(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("far", "ascending"), ("least", "ascending")]).combine_chunks()
     unit = _units(table["embedding"])
     files = pa.ListArray.from_arrays([0, len(unit)], table["least"].combine_chunks())
     return pa.table({"block": table["block"][:1], "files": files, "unit": pa.array([unit.tobytes()], pa.binary())})
 
 
 class _Nearest:
-    """The k best files of every class of a block, of those a task has met."""
+    """The k best files of every class of a block, of those a task has met; the middles and radii of the block's tiles."""
 
-    def __init__(self, files: np.ndarray, k: int, similarity: float):
+    def __init__(self, files: np.ndarray, unit: np.ndarray, k: int, similarity: float):
         self.files, self.similarity = files, similarity
         self.scores, self.found = np.full((len(files), k), -np.inf), np.zeros((len(files), k), files.dtype)
         # What k files are known to reach.
         self.floor = np.full(len(files), similarity)
-
-    def offer(self, unit: np.ndarray, first: int, files: np.ndarray, others: np.ndarray, at: int, sims: np.ndarray, across: bool) -> None:
-        """Products in single precision of some classes, in rows or across, and others: what may be among the best is scored anew."""
-        error, k = ERROR * (unit.shape[1] + 8), self.scores.shape[1]
-        size = sims.shape[across]
-        floor = self.floor[first:first + size]
+        tiles = [unit[at:at + TILE] for at in range(0, len(unit), TILE)]
+        self.middles = np.array([tile.mean(axis=0) for tile in tiles])
+        self.radii = np.array([np.linalg.norm(tile - x, axis=1).max() for tile, x in zip(tiles, self.middles)])
+
+    def reached(self, single: np.ndarray) -> np.ndarray:
+        """What the products of some vectors with those of each tile reach at most, but for the error of single precision."""
+        return single @ self.middles.T.astype(np.float32) + self.radii.astype(np.float32)
+
+    def offer(
+        self, unit: np.ndarray, mine: np.ndarray, files: np.ndarray, others: np.ndarray, theirs: np.ndarray,
+        sims: np.ndarray, across: bool,
+    ) -> None:
+        """Products in single precision of some classes, in rows or across, and others: what may be best is scored anew."""
+        error, k = _error(unit), self.scores.shape[1]
+        floor = self.floor[mine]
         good = sims >= _bar(floor - error, across)
-        if np.count_nonzero(good) > 8 * k * size:
+        met = np.count_nonzero(good)
+        if not met:
+            return
+        if met > 8 * k * len(mine):
             floor = np.maximum(floor, _kth(np.ascontiguousarray(sims.T) if across else sims, k) - error)
             good = sims >= _bar(floor - error, across)
         rows, cols = np.divmod(_true(good), sims.shape[1])
         if across:
             rows, cols = cols, rows
-        scores = _scores(unit, others, rows + first, cols + at)
+        rows, cols = mine[rows], theirs[cols]
+        scores = _scores(unit, others, rows, cols)
         near = scores >= self.similarity
         if near.any():
-            self._keep(rows[near] + first, files[cols[near] + at], scores[near])
+            self._keep(rows[near], files[cols[near]], scores[near])
 
     def _keep(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
         hit, k = np.unique(rows), self.scores.shape[1]
@@ -195,6 +230,10 @@ class _Nearest:
                 ], ["query_id", "file_id", "chunk_no", "score"])
 
 
+def _error(unit: np.ndarray) -> float:
+    return ERROR * (unit.shape[1] + 8)
+
+
 def _bar(floor: np.ndarray, across: bool) -> np.ndarray:
     bar = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
     return bar if across else bar[:, None]
@@ -212,16 +251,25 @@ def _true(good: np.ndarray) -> np.ndarray:
 def _meet(left: _Nearest, a: np.ndarray, right: _Nearest, b: np.ndarray) -> None:
     """All pairs of two blocks, or of one with itself; each product serves both classes of a pair."""
     x, y = a.astype(np.float32), b.astype(np.float32)
-    rows, cols = (TILE[0], TILE[0]) if left is right else TILE
-    for i in range(0, len(a), rows):
-        for j in range(i if left is right else 0, len(b), cols):
-            sims = x[i:i + rows] @ y[j:j + cols].T
+    from_left, from_right = right.reached(x) + 2 * _error(a), left.reached(y) + 2 * _error(a)
+    for i in range(0, len(a), TILE):
+        for j in range(i if left is right else 0, len(b), TILE):
+            mine, theirs = np.arange(i, min(i + TILE, len(a))), np.arange(j, min(j + TILE, len(b)))
             same = left is right and i == j
+            if not same:
+                # A pair matters if it reaches what either class asks for.
+                mine = mine[from_left[mine, j // TILE] >= np.minimum(left.floor[mine], right.floor[theirs].min())]
+                if not len(mine):
+                    continue
+                theirs = theirs[from_right[theirs, i // TILE] >= np.minimum(right.floor[theirs], left.floor[mine].min())]
+                if not len(theirs):
+                    continue
+            sims = x[mine] @ y[theirs].T
             if same:
                 np.fill_diagonal(sims, -np.inf)
-            left.offer(a, i, right.files, b, j, sims, False)
+            left.offer(a, mine, right.files, b, theirs, sims, False)
             if not same:
-                right.offer(b, j, left.files, a, i, sims, True)
+                right.offer(b, theirs, left.files, a, mine, sims, True)
 
 
 def _blocks_best(k: int, similarity: float):
@@ -233,9 +281,10 @@ def _blocks_best(k: int, similarity: float):
                 for side in ("a", "b"):
                     no, listed, unit = (batch.column(f"{side}_{c}")[at] for c in ("block", "files", "unit"))
                     id_type, files = listed.values.type, listed.values.to_numpy(zero_copy_only=False)
+                    unit = np.frombuffer(unit.as_buffer(), np.float64).reshape(len(files), -1)
                     if no.as_py() not in met:
-                        met[no.as_py()] = _Nearest(files.astype(str) if files.dtype == object else files, k, similarity)
-                    sides += [met[no.as_py()], np.frombuffer(unit.as_buffer(), np.float64).reshape(len(files), -1)]
+                        met[no.as_py()] = _Nearest(files.astype(str) if files.dtype == object else files, unit, k, similarity)
+                    sides += [met[no.as_py()], unit]
                 _meet(*sides)
         for best in met.values():
             yield from best.rows(id_type)
@@ -246,13 +295,22 @@ def _blocks_best(k: int, similarity: float):
 def _packed(marked: DataFrame) -> tuple[DataFrame, int, int]:
     """block, files, unit: each class in one block; the number of blocks, and of the crowded ones, which come first."""
     id_type = marked.schema["least"].dataType.simpleString()
-    n = {r["crowded"]: r["count"] for r in marked.groupBy("crowded").count().collect()}
-    crowded, others = (ceil(n.get(x, 0) / PACKED_ROWS) for x in (True, False))
-    own = F.xxhash64("least")
-    block = F.when(F.col("crowded"), F.pmod(own, F.lit(max(crowded, 1)))).otherwise(F.pmod(own, F.lit(max(others, 1))) + crowded)
-    rows = marked.select(block.cast("long").alias("block"), "least", "embedding")
-    packed = rows.groupBy("block").applyInArrow(_pack, f"block long, files array<{id_type}>, unit binary")
-    return packed, crowded + others, crowded
+    # Any classes serve as centres: they order the work and decide no result.
+    some = marked.orderBy(F.xxhash64("least"), "least").limit(CENTRES).select("embedding").collect()
+    schema = f"least {id_type}, embedding array<double>, crowded boolean, centre int, far double"
+    rows = marked.select("least", "embedding", "crowded")
+    rows = rows.mapInArrow(_nearest_centres(_unit(pd.Series([r["embedding"] for r in some]))), schema)
+    n = {(r["crowded"], r["centre"]): r["count"] for r in rows.groupBy("crowded", "centre").count().collect()}
+    starts, sizes, blocks = {}, {}, 0
+    for kind in sorted(n, key=lambda x: (not x[0], x[1])):
+        starts[kind], sizes[kind] = blocks, ceil(n[kind] / PACKED_ROWS)
+        blocks += sizes[kind]
+    crowded = sum(size for kind, size in sizes.items() if kind[0])
+    listed = lambda of, x: F.array(*(F.lit(of.get((x, c), 1)).cast("long") for c in range(len(some))))
+    own = lambda of: F.get(F.when(F.col("crowded"), listed(of, True)).otherwise(listed(of, False)), F.col("centre"))
+    block = own(starts) + F.pmod(F.xxhash64("least"), own(sizes))
+    rows = rows.select(block.alias("block"), "least", "embedding", "far")
+    return rows.groupBy("block").applyInArrow(_pack, f"block long, files array<{id_type}>, unit binary"), blocks, crowded
 
 
 def _crowded_best(marked: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -261,11 +319,14 @@ def _crowded_best(marked: DataFrame, k: int, similarity: float) -> DataFrame:
     slots = marked.sparkSession.sparkContext.defaultParallelism
     dim = marked.select(F.size("embedding")).first()[0]
     # A task reads its own part of the blocks once for each block of another part.
-    parts = min(blocks, max(isqrt(8 * slots), ceil(8 * dim * blocks * PACKED_ROWS / READ_BYTES)))
-    placed = packed.repartitionById(parts, F.floor(F.col("block") * parts / blocks).cast("int"))
+    parts = min(blocks, max(isqrt(8 * slots), ceil(8 * dim * marked.count() / READ_BYTES)))
+    # Blocks next to each other hold classes near each other and go to different parts.
+    placed = packed.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
     left, right = (placed.select(*(F.col(c).alias(f"{side}_{c}") for c in placed.columns)) for side in "ab")
     # Without a key to shuffle by: Spark reads the parts for each pair of them and copies nothing.
-    pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("a_block") <= F.col("b_block")) & (F.col("a_block") < crowded))
+    once = (F.col("a_part") < F.col("b_part")) | ((F.col("a_part") == F.col("b_part")) & (F.col("a_block") <= F.col("b_block")))
+    some = F.least("a_block", "b_block") < crowded
+    pairs = left.join(right.hint("shuffle_replicate_nl"), once & some)
     id_type = marked.schema["least"].dataType.simpleString()
     return pairs.mapInArrow(_blocks_best(k, similarity), SCORED.format(id=id_type))
 
@@ -274,8 +335,8 @@ def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8,
     """query_id, file_id, score, rank: up to k other files of every file with a cosine of `similarity` or more.
 
     Scores are exact. A file at `similarity` is left out with a chance of `missed`, nearer ones with less; equal vectors
-    never, nor those of a crowded class. `semantic.related_files` has no such chance and no threshold, at the cost of all pairs. Files without a
-    vector, or with a zero one, are related to none.
+    never, nor any pair with a crowded class. `semantic.related_files` has no such chance and no threshold, at the cost of
+    all pairs. Files without a vector, or with a zero one, are related to none.
     """
     vectors = file_vectors(embeddings)
     # 96 bits name a vector.
@@ -293,11 +354,11 @@ def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8,
     id_type = embeddings.schema["file_id"].dataType.simpleString()
     count = classes.count()
     width, bands = band_plan(count, similarity, missed)
-    banded = classes.select("least", "embedding")
-    marked = _marked(banded.filter(F.col("least").isNotNull()), count, width, bands)
+    rows = classes.select("least", "embedding")
+    marked = _marked(rows.filter(F.col("least").isNotNull()), count, width, bands)
     if marked is not None:
-        banded = marked.filter(~F.col("crowded")).drop("crowded")
-    keyed = banded.mapInPandas(_keys(width, bands), f"key long, least {id_type}, embedding array<double>")
+        rows = marked.filter(~F.col("crowded")).drop("crowded")
+    keyed = rows.mapInPandas(_keys(width, bands), f"key long, least {id_type}, embedding array<double>")
     # A bucket's best files come with their scores; bands repeat pairs, which best_per_file makes one.
     scored = _dealt(keyed).groupBy("key").applyInPandas(_bucket_best(k, similarity), SCORED.format(id=id_type))
     scored = best_per_file(scored.filter(F.col("score") >= similarity))

@@ -88,7 +88,8 @@ def test_crowded_classes_are_compared_with_all(spark, monkeypatch):
     rows = frame(spark, np.concatenate([vectors(seed=8), 0.3 * vectors(seed=9, centres=6) + 1]))
     monkeypatch.setattr(banded, "BLOCK_ROWS", 50)
     monkeypatch.setattr(banded, "PACKED_ROWS", 40)
-    monkeypatch.setattr(banded, "TILE", (16, 24))
+    monkeypatch.setattr(banded, "TILE", 16)
+    monkeypatch.setattr(banded, "CENTRES", 5)
     # One band of four bits by itself misses more than half of the pairs at 0.8.
     assert banded.band_plan(552, 0.8, 0.8) == (4, 1)
     monkeypatch.setattr(banded, "CROWDED", 0.002)
