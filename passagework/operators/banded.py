@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from passagework.operators.joins import bounded_join, bounded_rows
 from passagework.operators.ranking import best_per_file, top_k
 from passagework.operators.semantic import ERROR, SCORED, _best_of_slices, _kth, _scores, _unit, file_vectors
-from passagework.session import written
+from passagework.session import arrow_batches, written
 
 # Tasks get the functions of this module themselves and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,6 +39,8 @@ BLOCK_ROWS = 32_768
 CROWDED = 0.25
 # Classes of a packed block and of a tile, bytes of the blocks that a task reads again and again, centres of blocks.
 PACKED_ROWS, TILE, READ_BYTES, CENTRES = 16_384, 1024, 128 * 1024 * 1024, 64
+# A pair of blocks is a row of some MB: a few at a time are enough.
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def band_plan(count: int, similarity: float, missed: float) -> tuple[int, int]:
@@ -328,7 +330,8 @@ def _crowded_best(marked: DataFrame, k: int, similarity: float) -> DataFrame:
     some = F.least("a_block", "b_block") < crowded
     pairs = left.join(right.hint("shuffle_replicate_nl"), once & some)
     id_type = marked.schema["least"].dataType.simpleString()
-    return pairs.mapInArrow(_blocks_best(k, similarity), SCORED.format(id=id_type))
+    with arrow_batches(marked.sparkSession, BATCH_BYTES):
+        return written(pairs.mapInArrow(_blocks_best(k, similarity), SCORED.format(id=id_type)), "met")
 
 
 def related_banded(embeddings: DataFrame, k: int = 10, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
